@@ -37,7 +37,25 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), output="digest")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.substring import repeated_words
+
+    return repeated_words(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.unigram import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_simhash, op5_bpe)
+    f.__name__: f for f in (op1_toxicity, op4_simhash, op5_bpe, op6_decontamination, op7_substring_dedup, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
