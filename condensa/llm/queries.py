@@ -55,7 +55,74 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.secrets import digest_columns, find_secrets, labelled_samples, train
+
+    docs = table(spark, sf_dir, "documents")
+    return digest_columns(find_secrets(docs, train(labelled_samples(docs))))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.warc import archive_digests
+
+    return archive_digests(table(spark, sf_dir, "pages"))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.additive import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from condensa.llm.url_tree import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_simhash, op5_bpe, op6_decontamination, op7_substring_dedup, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_secrets, op3_warc, op4_simhash, op5_bpe, op6_decontamination, op7_substring_dedup,
+        op8_additive_quantisation, op9_url_filter, op10_token_counts,
+    )
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN revisit THEN first_id END AS refers_to
+        FROM (SELECT *, octet_length(encode(body)) >= 100 AND first_id <> page_id AS revisit
+              FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages))
+    """,
+    "op6_decontamination": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        win AS (SELECT DISTINCT item_id, len(k) AS size, array_to_string(k, ' ') AS k FROM
+                (SELECT item_id, w[s : s + 9] AS k FROM item, unnest(range(1, greatest(2, len(w) - 8))) AS t(s) WHERE len(w) > 0)),
+        doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        hit AS (SELECT d.doc_id, s, d.size, win.item_id
+                FROM (SELECT doc_id, s, size, array_to_string(w[s : s + size - 1], ' ') AS k
+                      FROM doc, (SELECT DISTINCT size FROM win) AS z, unnest(range(1, len(w) - size + 2)) AS t(s)) AS d
+                JOIN win ON win.k = d.k AND win.size = d.size),
+        cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + size)) AS t(p) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+        SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+    "op7_substring_dedup": """
+        WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + 19], ' ') ORDER BY doc_id, s) AS rn
+                FROM doc, unnest(range(1, len(w) - 18)) AS t(s)),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM win, unnest(range(s, s + 20)) AS t(p) WHERE rn > 1 GROUP BY doc_id),
+        kept AS (SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS k FROM doc LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+        FROM kept
+    """,
 }
-ORACLES: dict[str, str] = {}
