@@ -37,14 +37,16 @@ class MarkovConfig:
     #: Added to each count.
     smoothing: float = 0.5
     #: Samples of ordinary words come from this many documents at most (those of smallest hash of the id).
-    sample_docs: int = 2000
+    sample_docs: int = 500
+    #: And are so many distinct words at most (those of smallest hash).
+    sample_words: int = 4000
 
 
 def labelled_samples(docs: DataFrame, config: MarkovConfig = MarkovConfig()) -> DataFrame:
     """(value, random): words of some documents, alone and joined as identifiers; and random strings from digests."""
     some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_docs)
     words = some.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{2,40}"), F.lit(0))).alias("w"))
-    words = words.groupBy("w").count().where(F.length("w") < 16).select("w")
+    words = words.where(F.length("w") < 16).distinct().orderBy(F.xxhash64("w"), "w").limit(config.sample_words)
     other = F.reverse("w")
     plain = words.select(F.explode(F.array("w", F.concat("w", F.lit("_"), "w"), F.concat("w", F.initcap("w"), F.initcap("w")))).alias("value"), F.lit(False).alias("random"))
     digest = F.sha2("w", 256)

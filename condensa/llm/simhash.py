@@ -6,6 +6,11 @@ least one bucket, and no bucket can hold more than 2**24 distinct fingerprints.
 pair are tallied; the pair is verified in the first of its common buckets only. A bucket gives a forest of links, not
 all pairs of a group.
 
+``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
+their five-word shingles: several fingerprints of single words, which change little between such texts, go through the
+same index, and a pair that meets there is verified by a longer fingerprint of the shingles. There, the texts of a
+bucket are compared with its leaders only, in the order of their ids, so that a large group costs what it has rows.
+
 Defined results: null texts are empty texts; texts without words have fingerprint zero and link like any other;
 equal texts, and repeated rows, share a fingerprint and so a component. Null ids are kept as rows; they never are the
 smallest id of a component.
@@ -22,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import as_bytes, cut
+from condensa.llm.common import WordHashes, as_bytes, cut, mix
 from condensa.llm.components import components
+from condensa.llm.substring import _rolled
 
 SEED = 42
 BYTES = 8
@@ -156,3 +162,112 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of single words by which similar texts meet, and length of the one that verifies, in 64-bit words.
+TABLES, WIDE = 3, 4
+#: The 14 planes of the cube of byte places: each choice of 5 places holds one of them.
+PLANES = [p for p in combinations(range(BYTES), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+_ODD = [(0x9E3779B97F4A7C15 * (2 * i + 3) | 1) % (1 << 64) for i in range(TABLES + WIDE)]
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray | None, odd: list[int]) -> np.ndarray:
+    """Of each multiplier, the 64-bit fingerprint of the hashes spread by it."""
+    out = np.zeros((len(odd), 64), np.int64)
+    for s in range(0, len(hashes), 8192):
+        own = hashes[s : s + 8192]
+        for k, m in enumerate(odd):
+            bits = np.unpackbits(mix(own * np.uint64(m)).view(np.uint8).reshape(-1, 8), axis=1)
+            out[k] += bits.sum(axis=0, dtype=np.int64) if counts is None else counts[s : s + 8192] @ bits
+    total = len(hashes) if counts is None else int(counts.sum())
+    return np.packbits(2 * out > total, axis=1).view(np.uint64).reshape(-1)
+
+
+def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """(doc_id, content, fps, wide): a hash of the text, the fingerprints of its words, that of its shingles."""
+    ids = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            fps, wide = [], []
+            for text in as_bytes(b.column("text")):
+                h = hashes.of(text.lower().split())
+                shingles = mix(_rolled(h, min(shingle_words, len(h)))) if len(h) else h
+                each, counts = np.unique(h, return_counts=True)
+                fps.append(_majority(each, counts, _ODD[:TABLES]).view(np.int64).tolist())
+                wide.append(_majority(shingles, None, _ODD[TABLES:]).tobytes())
+            columns = [b.column("doc_id"), b.column("content"), pa.array(fps, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "wide"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    return rows.mapInArrow(run, f"doc_id {ids}, content long, fps array<long>, wide binary")
+
+
+def _led(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray, leaders: list, differing: int, share: float) -> list[tuple[int, int]]:
+    """Links of texts to the first leader they are near to; those without one become leaders."""
+    links, left = [], np.arange(len(nodes))
+    known = 0
+    while len(left):
+        if known == len(leaders):
+            leaders.append((nodes[left[0]], fps[left[0]], wide[left[0]]))
+            left = left[1:]
+        node, fp, own = leaders[known]
+        near = np.bitwise_count(fps[left] ^ fp) <= differing
+        near &= np.bitwise_count(wide[left] ^ own).sum(axis=1) <= share * 64 * WIDE
+        links += [(int(x), int(node)) for x in nodes[left[near]] if x != node]
+        left = left[~near]
+        known += 1
+    return links
+
+
+def similar_links(classes: DataFrame, differing: int = 3, share: float = 0.165) -> DataFrame:
+    """Links (u, v) between the ``node``s of ``classes`` (node, least, fps, wide) that are near."""
+    keys = [
+        F.struct(F.lit(t * len(PLANES) + k).alias("place"), F.get("fps", t).bitwiseAND(_signed(sum(0xFF << (8 * p) for p in plane))).alias("bytes"), F.get("fps", t).alias("fp"))
+        for t in range(TABLES)
+        for k, plane in enumerate(PLANES)
+    ]
+    entries = classes.select("node", "least", "wide", F.explode(F.array(*keys)).alias("k")).select("k.*", "node", "least", "wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, []
+        for b in batches:
+            place, part = (b.column(c).to_numpy() for c in ("place", "bytes"))
+            nodes, fps = b.column("node").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            wide = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+            edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(place)]
+            found: list[tuple[int, int]] = []
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                key = (place[s], part[s])
+                if key != last:
+                    last, leaders = key, []
+                if leaders or e - s > 1 or e == len(place):
+                    found += _led(nodes[s:e], fps[s:e], wide[s:e], leaders, differing, share)
+            u, v = list(zip(*found, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    dealt = entries.repartition("place", "bytes").sortWithinPartitions("place", "bytes", "least", "node")
+    return dealt.select("place", "bytes", "fp", "node", "wide").mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """(doc_id, content, first): ``first`` is the (doc_id, content) of the text that stands for the group."""
+    own = cut(signatures(docs, shingle_words).withColumn("node", F.xxhash64("fps", "wide")))
+    classes = own.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
+    reached = components(similar_links(classes))
+    rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    of = rooted.join(first, "root").select("node", "first")
+    return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", "first")
+
+
+def drop_similar(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """``docs`` without the texts that are near to one of smaller id; repeated rows are kept once."""
+    groups = similar_groups(docs, shingle_words)
+    kept = groups.select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
+    rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = rows.join(kept, rows["__own"].eqNullSafe(kept["__content"]) & rows["doc_id"].eqNullSafe(kept["__id"]))
+    return both.dropDuplicates(["__id", "__content"]).drop("__id", "__content", "__own")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, mix
 
@@ -107,10 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
     return at[~last], w[~last], float(w[last].sum())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], config: FtrlConfig = FtrlConfig()) -> DataFrame:
-    """(doc_id, score) of whole texts. The broadcast weights are bounded by 2**bits entries."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], config: FtrlConfig = FtrlConfig(), name: str = "score") -> DataFrame:
+    """``docs`` with the score of the whole ``text`` as a last column. The weights are bounded by 2**bits entries."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bits, ids = config.bits, docs.schema["doc_id"].dataType.simpleString()
+    bits = config.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, bias = shared.value
@@ -126,9 +127,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], config:
                     got = np.unique(got[table[got] != 0])
                     out[k] = table[got].sum()
             out = 1 / (1 + np.exp(-np.clip(out + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -138,5 +139,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig(), threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    scored = score(docs, fit(docs, labels.where(~held_out()), config), config)
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels.where(~held_out()), config), config)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
