@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from condensa.llm.common import cut
+
 #: Verdict, host and path of each rule, as (verdict, "host/path").
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -70,10 +72,11 @@ def templates(paths: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     """``paths`` (host, path, n, more) with ``template``: array of segments in which variable ones are wildcards.
 
     Works on distinct (host, path) with their counts. From the root down, a segment is a wildcard if its branch has
-    many children and it is a rare one; branches are counted with the wildcards above them.
+    many children and it is a rare one; branches are counted with the wildcards above them. Each level reads the one
+    above it twice, so each ends in a checkpoint; else the plan would double from level to level.
     """
     c = config
-    out = paths.withColumn("template", _segments(F.col("path"), c.depth))
+    out = cut(paths.withColumn("template", _segments(F.col("path"), c.depth)))
     for d in range(c.depth):
         key = [F.col("host"), F.slice("template", 1, d).alias("above"), F.try_element_at("template", F.lit(d + 1)).alias("child")]
         children = out.where(F.size("template") > d).groupBy(*key).agg(F.sum("n").alias("own"))
@@ -83,13 +86,14 @@ def templates(paths: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
         out = out.select("*", *key[1:]).join(rare, ["host", "above", "child"], "left")
         wild = F.concat(F.slice("template", 1, d), F.array(F.lit("*")), F.slice("template", d + 2, c.depth))
         out = out.withColumn("template", F.when(F.col("rare"), wild).otherwise(F.col("template"))).drop("above", "child", "rare")
+        out = cut(out)
     return out
 
 
 def judged(counted: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     """(host, template, n, labelled, blocked, merged, purity, reject) from ``counted`` (host, template, n, labelled, blocked)."""
     c = config
-    leaves = counted.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")])
+    leaves = cut(counted.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]))
     total = leaves.groupBy().agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).select(F.when(F.col("l") > 0, F.col("b") / F.col("l")).otherwise(0.0).alias("p"))
     prior = total.first()[0]  # one number
     above = F.slice("template", 1, F.greatest(F.lit(0), F.size("template") - 1))
