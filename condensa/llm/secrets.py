@@ -44,7 +44,8 @@ class MarkovConfig:
 
 def labelled_samples(docs: DataFrame, config: MarkovConfig = MarkovConfig()) -> DataFrame:
     """(value, random): words of some documents, alone and joined as identifiers; and random strings from digests."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_docs)
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_docs)
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ids first: texts of the sample only are moved
     words = some.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{2,40}"), F.lit(0))).alias("w"))
     words = words.where(F.length("w") < 16).distinct().orderBy(F.xxhash64("w"), "w").limit(config.sample_words)
     other = F.reverse("w")
