@@ -11,10 +11,11 @@ from condensa.llm.common import cut
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star step, then one small-star step, of distinct edges (u, v)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # what is joined back is stored first: both sides are then dealt out by the join, which may split the edges of a hub
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
     small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(least.select("u", F.col("m").alias("v"))).distinct()
 
