@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from condensa.functions.core import C, col, lines, trimmed
+from condensa.functions.core import C, col, let, lines, trimmed
 from condensa.kernels import detect as k
 
 WORD = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
@@ -53,8 +53,7 @@ def html_confidence(text: C) -> Column:
 
 
 def search_share(text: C) -> Column:
-    xs = sampled(text, 100)
-    return F.when(F.size(xs) > 0, matching(xs, r"^[^:\s]+:\d+:") / F.size(xs)).otherwise(F.lit(0.0))
+    return let(sampled(text, 100), lambda xs: F.when(F.size(xs) > 0, matching(xs, r"^[^:\s]+:\d+:") / F.size(xs)).otherwise(F.lit(0.0)))
 
 
 def log_pattern(line: Column) -> Column:
@@ -66,65 +65,86 @@ def log_pattern(line: Column) -> Column:
 
 
 def log_confidence(text: C) -> Column:
-    xs = sampled(text, 200)
-    kinds = F.filter(F.transform(xs, log_pattern), lambda x: x.isNotNull())
-    share = F.size(kinds) / F.size(xs)
-    score = 0.3 + 0.5 * share + 0.05 * F.size(F.filter(kinds, lambda x: x < 2))
-    return F.when((F.size(kinds) > 0) & (share >= 0.1), F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
+    def score(f: Column) -> Column:
+        share = F.size(f["kinds"]) / f["n"]
+        out = 0.3 + 0.5 * share + 0.05 * F.size(F.filter(f["kinds"], lambda x: x < 2))
+        return F.when((F.size(f["kinds"]) > 0) & (share >= 0.1), F.least(F.lit(1.0), out)).otherwise(F.lit(0.0))
+
+    found = lambda xs: F.struct(F.filter(F.transform(xs, log_pattern), lambda x: x.isNotNull()).alias("kinds"), F.size(xs).alias("n"))
+    return let(let(sampled(text, 200), found), score)
+
+
+def _share(xs: Column, delimiter: str) -> Column:
+    """Share of lines that have the most common number of a delimiter; 0 if that or the first one is none."""
+    bare = lambda x: F.regexp_replace(x, r'"(?:[^"]|"")*(?:"|$)', "") if delimiter != '"' else x
+    counts = F.transform(xs, lambda x: F.regexp_count(F.when(x.contains('"'), bare(x)).otherwise(x), F.lit("\\" + delimiter)))
+
+    def best(cs: Column) -> Column:
+        often = lambda c: F.size(F.filter(cs, lambda x: x == c))
+        top = F.array_max(F.transform(F.array_distinct(cs), lambda c: F.struct(often(c).alias("n"), c.alias("c"))))
+        return let(top, lambda t: F.when((F.element_at(cs, 1) > 0) & (t["c"] > 0), t["n"] / F.size(cs)).otherwise(F.lit(0.0)))
+
+    return F.when(F.size(xs) >= 3, let(counts, best)).otherwise(F.lit(0.0))
 
 
 def delimiter_share(text: C, delimiter: str) -> Column:
-    """Share of the sample's lines that have the most common number of a delimiter; 0 if that or the first one is none."""
-    xs = sampled(text, 50)
-    counts = F.transform(xs, lambda x: F.regexp_count(F.regexp_replace(x, r'"(?:[^"]|"")*(?:"|$)', ""), F.lit("\\" + delimiter)))
-    often = lambda c: F.size(F.filter(counts, lambda x: x == c))
-    best = F.array_max(F.transform(F.array_distinct(counts), lambda c: F.struct(often(c).alias("n"), c.alias("c"))))
-    return F.when((F.size(xs) >= 3) & (F.element_at(counts, 1) > 0) & (best["c"] > 0), best["n"] / F.size(xs)).otherwise(F.lit(0.0))
+    return let(sampled(text, 50), lambda xs: _share(xs, delimiter))
 
 
 def is_table(text: C) -> Column:
-    xs = sampled(text, 50)
-    source = matching(xs, k._SOURCE_LIKE.pattern.replace(r"\s*", r"^\s*", 1))
-    separator = F.exists(xs, lambda x: x.rlike(r"^\s*\|?\s*:*-{2,}:*\s*(?:\|\s*:*-{2,}:*\s*)+\|?\s*$"))
-    prose = matching(xs, r"[.!?]\s*$") / F.size(xs) >= 0.5
-    words = lambda d: F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"[^\s%s]+" % d)))
-    cells = lambda d: F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("\\" + d)) + 1)
-    cut = [(delimiter_share(text, d) >= (0.7 if d == "\t" else 0.85)) & (words(d) / cells(d) <= 3.0) for d in ",\t;|"]
-    return (F.size(xs) >= 3) & (source < 2) & (separator | (~prose & (cut[0] | cut[1] | cut[2] | cut[3])))
+    def table(xs: Column) -> Column:
+        source = matching(xs, "^(?:%s)" % k.SOURCE_LIKE.pattern)
+        separator = F.exists(xs, lambda x: x.rlike(r"^\s*\|?\s*:*-{2,}:*\s*(?:\|\s*:*-{2,}:*\s*)+\|?\s*$"))
+        prose = matching(xs, r"[.!?]\s*$") / F.size(xs) >= 0.5
+        words = lambda d: F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"[^\s%s]+" % d)))
+        cells = lambda d: F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("\\" + d)) + 1)
+        cut = F.lit(False)
+        for d in ",\t;|":
+            cut = cut | ((_share(xs, d) >= (0.7 if d == "\t" else 0.85)) & (words(d) / cells(d) <= 3.0))
+        return (F.size(xs) >= 3) & (source < 2) & (separator | (~prose & cut))
+
+    return let(sampled(text, 50), table)
 
 
 def code_hits(text: C, language: str) -> Column:
-    return F.size(F.filter(sampled(text, 100, False), lambda x: x.rlike(r"^\s*(?:%s)" % k.CODE_LINE[language].pattern)))
+    return matching(sampled(text, 100, False), r"^\s*(?:%s)" % k.CODE_LINE[language].pattern)
 
 
 def code_confidence(text: C) -> Column:
-    best = F.greatest(*[code_hits(text, x) for x in k.CODE_LINE])
-    filled = F.greatest(F.lit(1), F.size(sampled(text, 100)))
-    return F.when(best >= 3, F.least(F.lit(1.0), 0.4 + 0.4 * best / filled + 0.02 * best)).otherwise(F.lit(0.0))
+    def score(xs: Column) -> Column:
+        best = F.greatest(*[matching(xs, r"^\s*(?:%s)" % p.pattern) for p in k.CODE_LINE.values()])
+        filled = F.greatest(F.lit(1), F.size(F.filter(xs, lambda x: trimmed(x) != "")))
+        return let(best, lambda b: F.when(b >= 3, F.least(F.lit(1.0), 0.4 + 0.4 * b / filled + 0.02 * b)).otherwise(F.lit(0.0)))
+
+    return let(sampled(text, 100, False), score)
 
 
 def is_config(text: C) -> Column:
     """YAML, or sections with assignments."""
-    xs = F.filter(sampled(text, 200), lambda x: ~x.rlike(r"^\s*[#;]"))
-    n = F.size(xs)
-    sections = matching(xs, r"""^\s*\[+\s*[\w.\-"' ]+\s*\]+\s*$""")
-    assigned = matching(xs, r"^\s*[^\s\[#;=:][^\s=:]*\s*[=:]\s*\S")
-    keys = matching(xs, r"""^\s*(?:- )?(?:["'][^:]*|[\p{L}\p{N}._/-]+)\s*:(?:\s|$)""")
-    items = matching(xs, r"^\s*-\s") - matching(xs, r"""^\s*- (?:["'][^:]*|[\p{L}\p{N}._/-]+)\s*:(?:\s|$)""")
-    marks = matching(xs, r"^\s*(?:---|\.\.\.)\s*$")
-    words = F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"\S+")))
-    indents = F.size(F.array_distinct(F.transform(F.filter(xs, lambda x: x.rlike(r"^\s*(?:-\s|(?:[\p{L}\p{N}._/-]+)\s*:)")), lambda x: F.length(F.regexp_extract(x, "^( *)", 1)))))
-    ini = (sections > 0) & (assigned >= 2) & ((sections + assigned) / n >= 0.6)
-    yaml = (keys >= 3) & ((keys + items + marks) / n >= 0.6) & (matching(xs, r"[.!?]\s*$") / n < 0.5) & (words / n <= 8)
-    return (n >= 3) & ~trimmed(text).rlike(r"^[{<]") & (ini | (yaml & ((indents >= 2) | (marks > 0) | (items >= 3))))
+
+    def config(xs: Column) -> Column:
+        n = F.size(xs)
+        sections = matching(xs, r"""^\s*\[+\s*[\w.\-"' ]+\s*\]+\s*$""")
+        assigned = matching(xs, r"^\s*[^\s\[#;=:][^\s=:]*\s*[=:]\s*\S")
+        keys = matching(xs, r"""^\s*(?:- )?(?:["'][^:]*|[\p{L}\p{N}._/-]+)\s*:(?:\s|$)""")
+        items = matching(xs, r"^\s*-\s") - matching(xs, r"""^\s*- (?:["'][^:]*|[\p{L}\p{N}._/-]+)\s*:(?:\s|$)""")
+        marks = matching(xs, r"^\s*(?:---|\.\.\.)\s*$")
+        words = F.aggregate(xs, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"\S+")))
+        indents = F.size(F.array_distinct(F.transform(F.filter(xs, lambda x: x.rlike(r"^\s*(?:-\s|(?:[\p{L}\p{N}._/-]+)\s*:)")), lambda x: F.length(F.regexp_extract(x, "^( *)", 1)))))
+        ini = (sections > 0) & (assigned >= 2) & ((sections + assigned) / n >= 0.6)
+        yaml = (keys >= 3) & ((keys + items + marks) / n >= 0.6) & (matching(xs, r"[.!?]\s*$") / n < 0.5) & (words / n <= 8)
+        return (n >= 3) & (ini | (yaml & ((indents >= 2) | (marks > 0) | (items >= 3))))
+
+    body = F.filter(sampled(text, 200), lambda x: ~x.rlike(r"^\s*[#;]"))
+    return ~trimmed(text).rlike(r"^[{<]") & let(body, config)
 
 
 def content_type(text: C) -> Column:
     """The first detector that fits, in the order of the cascade."""
-    share = search_share(text)
+    is_search = let(search_share(text), lambda s: (s >= 0.3) & (0.4 + 0.6 * s >= 0.6))
     return (
         F.when(trimmed(text) == "", k.PLAIN).when(is_json(text), k.JSON).when(is_diff(text), k.DIFF)
-        .when(html_confidence(text) >= 0.7, k.HTML).when((share >= 0.3) & (0.4 + 0.6 * share >= 0.6), k.SEARCH)
+        .when(html_confidence(text) >= 0.7, k.HTML).when(is_search, k.SEARCH)
         .when(log_confidence(text) >= 0.5, k.LOG).when(is_table(text), k.TABLE).when(is_config(text), k.CONFIG)
         .when(code_confidence(text) >= 0.5, k.CODE).otherwise(k.PLAIN)
     )

@@ -128,7 +128,7 @@ def is_log(text: str) -> bool:
     return 0.3 + 0.5 * len(kinds) / len(lines) + 0.05 * sum(k < 2 for k in kinds) >= 0.5
 
 
-_SOURCE_LIKE = re.compile(r"\s*(?:fn |let |const |function |use |pub |class |import |#include)|.*=>|.*\{$|\s*\}$")
+SOURCE_LIKE = re.compile(r"\s*(?:fn |let |const |function |use |pub |class |import |#include)|.*=>|.*\{$|\s*\}$")
 _SENTENCE = re.compile(r".*[.!?]\s*$", re.S)
 
 
@@ -145,7 +145,7 @@ def delimiter_count(line: str, delimiter: str) -> int:
 def table_format(text: str) -> str | None:
     """``markdown``, a delimiter, or None."""
     lines = [x for x in text.split("\n") if not blank(x)][:50]
-    if len(lines) < 3 or sum(bool(_SOURCE_LIKE.match(x)) for x in lines) >= 2:
+    if len(lines) < 3 or sum(bool(SOURCE_LIKE.match(x)) for x in lines) >= 2:
         return None
     for above, below in zip(lines, lines[1:]):
         if "|" in above and separator_row(below) and len(above.strip().strip("|").split("|")) >= 2:
