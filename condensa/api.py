@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from condensa.kernels.block import Outcome, shrink_block
 from condensa.plans.compress import compress_blocks, compress_requests, publish
@@ -47,9 +49,6 @@ def preview(text: str, query: str = "", source_path: str | None = None) -> Outco
 
 def register(spark: SparkSession) -> None:
     """Make the column functions callable from SQL: condensa_tokens, condensa_key, condensa_type."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def kind(texts: pd.Series) -> pd.Series:
         from condensa.kernels.detect import content_type

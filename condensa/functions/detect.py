@@ -42,14 +42,16 @@ def is_diff(text: C) -> Column:
 
 
 def html_confidence(text: C) -> Column:
+    def score(sample: Column) -> Column:
+        doctype = sample.rlike(r"^\s*<!doctype html").cast("double")
+        tag = lambda t: sample.rlike(rf"<{t}[ \t>]").cast("double")
+        structural = F.regexp_count(sample, F.lit(k.STRUCTURAL.pattern))
+        found = (doctype > 0) | (tag("html") > 0) | (structural >= 3)
+        out = 0.5 * doctype + 0.3 * tag("html") + 0.1 * tag("head") + 0.1 * tag("body") + F.least(F.lit(0.3), 0.03 * structural)
+        return F.when(found, F.least(F.lit(1.0), out)).otherwise(F.lit(0.0))
+
     head = F.substring(col(text).cast("binary"), 1, 3000).cast("string")
-    sample = F.lower(F.make_valid_utf8(head))  # the cut may fall within a character
-    doctype = sample.rlike(r"^\s*<!doctype html").cast("double")
-    tag = lambda t: sample.rlike(rf"<{t}[ \t>]").cast("double")
-    structural = F.regexp_count(sample, F.lit(k.STRUCTURAL.pattern))
-    found = (doctype > 0) | (tag("html") > 0) | (structural >= 3)
-    score = 0.5 * doctype + 0.3 * tag("html") + 0.1 * tag("head") + 0.1 * tag("body") + F.least(F.lit(0.3), 0.03 * structural)
-    return F.when(found, F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
+    return let(F.lower(F.make_valid_utf8(head)), score)  # the cut may fall within a character
 
 
 def search_share(text: C) -> Column:

@@ -60,25 +60,30 @@ def live_zones(requests: DataFrame) -> DataFrame:
 def candidates(requests: DataFrame) -> DataFrame:
     """request_id, format, msg_idx, part_idx (-1: the message itself), field, text: tool output within the live zone."""
     rows = messages(requests).join(live_zones(requests).drop("format"), "request_id").where(F.col("msg_idx").between(F.col("floor"), F.col("ceiling")))
-    part = "struct<type:string,text:string,content:string,is_error:string>"
-    get = lambda path: F.get_json_object("message", path)
+    # a VARIANT tells a string from an array that a string holds
+    at = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    is_text = lambda v, path: F.coalesce(F.schema_of_variant(at(v, path, "variant")) == "STRING", F.lit(False))
     one = lambda i, field, text: F.struct(i.cast("int").alias("part_idx"), F.lit(field).alias("field"), text.alias("text"))
     none = F.array().cast("array<struct<part_idx:int,field:string,text:string>>")
+    m = F.col("__m")
 
     def parts(path: str, field: str, fits) -> Column:
-        every = F.from_json(get(path), f"array<{part}>")
-        placed = F.transform(every, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-        good = F.filter(placed, lambda x: F.coalesce(fits(x["p"]) & x["p"][field].isNotNull(), F.lit(False)))
-        return F.coalesce(F.transform(good, lambda x: one(x["i"], field, x["p"][field])), none)
+        placed = F.transform(at(m, path, "array<variant>"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+        good = F.filter(placed, lambda x: F.coalesce(fits(x["p"]), F.lit(False)) & is_text(x["p"], f"$.{field}"))
+        return F.coalesce(F.transform(good, lambda x: one(x["i"], field, at(x["p"], f"$.{field}"))), none)
 
-    tool_result = lambda p: (p["type"] == "tool_result") & (F.coalesce(p["is_error"], F.lit("false")) != "true") & ~F.coalesce(p["content"], F.lit("[")).rlike(r"^\[")
-    whole = lambda field: F.when(get(f"$.{field}").isNotNull() & ~get(f"$.{field}").rlike(r"^\[\s*\{"), F.array(one(F.lit(-1), field, get(f"$.{field}")))).otherwise(none)
+    def whole(field: str) -> Column:
+        return F.when(is_text(m, f"$.{field}"), F.array(one(F.lit(-1), field, at(m, f"$.{field}")))).otherwise(none)
+
+    kind = lambda p: at(p, "$.type")
+    tool_result = lambda p: (kind(p) == "tool_result") & ~F.coalesce(at(p, "$.is_error", "boolean"), F.lit(False))
     found = (
         F.when(F.col("format") == "anthropic", parts("$.content", "content", tool_result))
-        .when((F.col("format") == "chat_completions") & (F.col("role") == "tool"), F.concat(whole("content"), parts("$.content", "text", lambda p: p["type"] == "text")))
-        .when((F.col("format") == "responses") & (get("$.type") == "function_call_output"), F.concat(whole("output"), parts("$.output", "text", lambda p: p["type"].isin(*RESPONSE_PARTS))))
+        .when((F.col("format") == "chat_completions") & (F.col("role") == "tool"), F.concat(whole("content"), parts("$.content", "text", lambda p: kind(p) == "text")))
+        .when((F.col("format") == "responses") & (kind(m) == "function_call_output"), F.concat(whole("output"), parts("$.output", "text", lambda p: kind(p).isin(*RESPONSE_PARTS))))
         .otherwise(none)
     )
+    rows = rows.withColumn("__m", F.try_parse_json("message"))
     return rows.select("request_id", "format", "msg_idx", F.explode(found).alias("c")).select("request_id", "format", "msg_idx", "c.*")
 
 
