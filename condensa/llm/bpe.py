@@ -36,8 +36,8 @@ def byte_symbols() -> dict[str, int]:
 class Bpe:
     """Vocabulary, merges and the trie of words seen so far."""
 
-    #: The trie is begun anew beyond so many nodes, and the pairs beyond so many.
-    MOST_NODES, MOST_PAIRS = 1_000_000, 300_000
+    #: The trie is begun anew beyond so many nodes; the encodings of words, and of pairs, are forgotten beyond so many.
+    MOST_NODES, MOST_WORDS, MOST_PAIRS = 100_000, 300_000, 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,13 +65,13 @@ class Bpe:
         #: By their last three bytes, the lengths of tokens, longest first; shorter tokens are tried with all.
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # by node << 8 | byte
         self.last: list[int] = [-1]  # last token by node
         self.before: list[int] = [-1]  # node at which that token starts
-        self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """Merges applied by rank: the definition, used for single tokens and for pairs."""
@@ -163,8 +163,8 @@ class Bpe:
         for t in texts:
             parts = self.special_cut.split(t) if self.special_cut and "<" in t else [t]
             cut.append([p if p in self.special else WORDS.findall(p) for p in parts])
-        if len(self.words) + len(self.last) > self.MOST_NODES:
-            self.clear()
+        if len(self.words) > self.MOST_WORDS:
+            self.words = {}
         new = {w for parts in cut for p in parts if not isinstance(p, str) for w in p if w not in self.words}
         self.learn(new)
         out, words = [], self.words

@@ -29,7 +29,7 @@ UNKNOWN_PENALTY = 10.0
 
 
 class UnigramCounter:
-    MOST_WORDS = 300_000
+    MOST_WORDS = 250_000
 
     def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True):
         self.automaton = ahocorasick.Automaton()
