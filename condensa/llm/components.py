@@ -27,7 +27,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     checkpoint, so that a lost executor costs one round at most. A count and a sum tell whether a round changed
     anything; nothing else goes to the driver.
     """
-    edges = edges.select("u", "v").where("u <> v").distinct()
+    edges = cut(edges.select("u", "v").where("u <> v").distinct())  # else each use would find the links anew
     before = None
     for _ in range(most_rounds):
         edges = cut(_star(edges))
