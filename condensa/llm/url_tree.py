@@ -2,10 +2,11 @@
 
 Segments of a path that vary (numbers, digests, or a branch with many rare children) become wildcards. Each template
 gets the share of blocked among its labelled pages, smoothed towards the share of all. Sibling branches whose shares do
-not differ statistically are merged and judged together. Templates that are pure enough are rejected. All DataFrame code.
+not differ statistically are merged and judged together. Templates that are pure enough are rejected; one without any
+labelled page never is. All DataFrame code.
 
-Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule and is allowed
-unless labelled pages like it say otherwise; repeated pages count as often as they occur. Other columns are not read.
+Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule and is allowed;
+repeated pages count as often as they occur. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def judged(counted: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     both = both.join(pooled, ["host", "above"], "left")
     labelled, blocked = (F.when(F.col("merged"), F.col(m)).otherwise(F.col(o)) for m, o in (("ml", "labelled"), ("mb", "blocked")))
     purity = (blocked + c.prior * F.lit(prior)) / (labelled + c.prior)
-    return both.withColumn("purity", purity).select("host", "template", "n", "labelled", "blocked", "merged", "purity", (F.col("purity") >= c.reject).alias("reject"))
+    return both.withColumn("purity", purity).select("host", "template", "n", "labelled", "blocked", "merged", "purity", ((labelled > 0) & (F.col("purity") >= c.reject)).alias("reject"))
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, config: TreeConfig = TreeConfig()) -> DataFrame:
