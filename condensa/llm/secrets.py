@@ -32,8 +32,8 @@ class MarkovConfig:
     #: Tokens of fewer characters are not judged.
     least_length: int = 20
     #: Ratio of the likelihoods, as a natural logarithm, from which a token is a secret; for each pair of characters.
-    per_pair: float = 0.35
-    total: float = 12.0
+    per_pair: float = 1.0
+    total: float = 20.0
     #: Added to each count.
     smoothing: float = 0.5
     #: Samples of ordinary words come from this many documents at most (those of smallest hash of the id).
