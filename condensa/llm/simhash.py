@@ -257,12 +257,12 @@ def similar_links(classes: DataFrame, differing: int = 3, share: float = 0.165)
 def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """(doc_id, content, first): ``first`` is the (doc_id, content) of the text that stands for the group."""
     own = cut(signatures(docs, shingle_words).withColumn("node", F.xxhash64("fps", "wide")))
-    classes = own.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
+    classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
     reached = components(similar_links(classes))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = cut(rooted.groupBy("root").agg(F.min("least").alias("first")))
     of = rooted.join(first, "root").select("node", "first")
-    return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", "first")
+    return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", F.col("first").dropFields("none").alias("first"))
 
 
 def drop_similar(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
