@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from functools import lru_cache
 
 from condensa.kernels.base import loads, loads_prefix, nbytes
 
@@ -116,8 +117,19 @@ def is_search(text: str) -> bool:
     return bool(hits) and hits / len(lines) >= 0.3 and 0.4 + 0.6 * hits / len(lines) >= 0.6
 
 
+_LOG_WORD = re.compile(r"(?i)error|fail|fatal|critical|warn|info|debug|trace")
+
+
+@lru_cache(maxsize=4096)
 def log_pattern(line: str) -> int | None:
-    return next((i for i, p in enumerate(LOG_LINE) if (p.search if i < 3 else p.match)(line)), None)
+    """Number of the first log pattern that a line has."""
+    first = 0 if _LOG_WORD.search(line) else 3  # most lines have none of the words
+    return next((i for i, p in enumerate(LOG_LINE[first:], first) if (p.search if i < 3 else p.match)(line)), None)
+
+
+@lru_cache(maxsize=4096)
+def code_languages(line: str) -> tuple[str, ...]:
+    return tuple(lang for lang, p in CODE_LINE.items() if p.match(line))
 
 
 def is_log(text: str) -> bool:
@@ -139,7 +151,7 @@ def separator_row(line: str) -> bool:
 
 
 def delimiter_count(line: str, delimiter: str) -> int:
-    return re.sub(r'"(?:[^"]|"")*(?:"|$)', "", line).count(delimiter)
+    return (re.sub(r'"(?:[^"]|"")*(?:"|$)', "", line) if '"' in line else line).count(delimiter)
 
 
 def table_format(text: str) -> str | None:
@@ -221,7 +233,7 @@ def code_language(text: str) -> tuple[str, float] | None:
     lines = [x.lstrip() for x in text.split("\n")[:100]]
     hits: Counter[str] = Counter()
     for x in lines:
-        hits.update(lang for lang, p in CODE_LINE.items() if p.match(x))
+        hits.update(code_languages(x))
     if not hits or max(hits.values()) < 3:
         return None
     lang, best = max(hits.items(), key=lambda x: x[1])  # of equals, the one that scored first

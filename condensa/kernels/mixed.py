@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from condensa.kernels.base import loads_prefix, nbytes
 from condensa.kernels.detect import JSON, content_type
 
-LEAST_SPAN = 512
+LEAST_SPAN, LOOKS_AT = 512, 500
 
 
 @dataclass
@@ -48,7 +48,9 @@ def sections(text: str) -> list[Section]:
                 continue
         kind, j = content_type(lines[i]), i + 1
         while j < n and not opens[j]:
-            if lines[j].strip() and content_type("\n".join(lines[i : j + 1])) != kind:
+            # no detector but that of JSON looks beyond so many lines
+            seen = j - i > LOOKS_AT and not ("{" in lines[j] or "[" in lines[j])
+            if lines[j].strip() and not seen and content_type("\n".join(lines[i : j + 1])) != kind:
                 break
             j += 1
         body = "\n".join(lines[i:j])

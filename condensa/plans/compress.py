@@ -47,7 +47,12 @@ def compress_blocks(blocks: DataFrame, stash_dir: str | None = None) -> DataFram
     has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
     fit = F.coalesce(over_gate("text") & ~has_marker("text"), F.lit(False))
     rows = blocks.withColumn("__fit", fit)
-    done = rows.where("__fit").withColumn("result", shrink(F.col("text"), F.coalesce(has("query"), F.lit("")), F.coalesce(has("source_path"), F.lit("")), stash_dir))
+    # few input splits, such as one file, would leave most cores idle in the kernel, which costs far more than a shuffle
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    ready = rows.where("__fit")
+    if blocks.rdd.getNumPartitions() < 2 * cores:
+        ready = ready.repartition(2 * cores)
+    done = ready.withColumn("result", shrink(F.col("text"), F.coalesce(has("query"), F.lit("")), F.coalesce(has("source_path"), F.lit("")), stash_dir))
     rest = rows.where(~F.col("__fit")).withColumn("result", F.lit(None).cast(RESULT))
     return done.unionByName(rest).drop("__fit")
 
