@@ -51,7 +51,7 @@ class Codebooks:
             gain = self.square[i] - 2 * rest @ self.books[i].T  # of each codeword on each residual
             total = (cost[:, :, None] + gain).reshape(n, -1)
             keep = min(beam if i < m - 1 else 1, total.shape[1])
-            best = np.argsort(total, axis=1, kind="stable")[:, :keep]
+            best = np.argpartition(total, keep - 1, axis=1)[:, :keep] if keep < total.shape[1] else np.argsort(total, axis=1)
             cost = np.take_along_axis(total, best, axis=1)
             before, word = best // k, best % k
             codes = np.concatenate([np.take_along_axis(codes, before[:, :, None], axis=1), word[:, :, None].astype(np.uint8)], axis=2)
@@ -71,9 +71,8 @@ def fit(x: np.ndarray, c: AqConfig) -> Codebooks:
         centre = rest[rng.choice(len(rest), k, replace=False)]
         for _ in range(8):
             near = ((centre**2).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
-            count = np.bincount(near, minlength=k)
-            total = np.zeros_like(centre)
-            np.add.at(total, near, rest)
+            own = (near[:, None] == np.arange(k)).astype(float)
+            count, total = own.sum(axis=0), own.T @ rest
             centre = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centre)
         near = ((centre**2).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
         books.append(centre)
