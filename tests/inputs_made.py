@@ -10,66 +10,66 @@ def compact(value) -> str:
 
 
 def issues() -> str:
-    return compact([{"id": i, "title": f"Issue #{i}: " + ("panic in worker pool" if i % 17 == 0 else "minor typo in docs"), "state": "open" if i % 50 == 0 else "closed", "labels": ["bug", "docs"]} for i in range(200)])
+    return compact([{"nr": i, "subject": f"ticket {i} " + ("crash while saving" if i % 13 == 0 else "wording of a label"), "phase": "new" if i % 40 == 0 else "done", "tags": ["ui", "text"]} for i in range(180)])
 
 
 def pretty() -> str:
-    return json.dumps([{"id": i, "name": f"item-{i}", "ok": True} for i in range(60)], indent=2)
+    return json.dumps([{"row": i, "tool": f"drill {i}", "in_stock": False} for i in range(70)], indent=4)
 
 
 def build_log() -> str:
-    lines = ["   Compiling serde v1.0.200", *(f"   Compiling dep-{i:03d} v0.{i}.0" for i in range(40)), "warning: unused variable: `x`"]
-    lines += [f"note: `#[warn(unused_variables)]` on by default (line {i})" for i in range(30)]
-    return "\n".join([*lines, "error[E0308]: mismatched types", "  --> src/main.rs:42:13", "   | let x: String = 42;", "error: could not compile `demo` due to 1 previous error"])
+    lines = ["  fetching sources", *(f"  building part{i:02d} release {i}.1" for i in range(45)), "warning: option --fast is old"]
+    lines += [f"info: page {i} of the handbook has more on --fast" for i in range(25)]
+    return "\n".join([*lines, "error: part44 does not link", "  at main.c:10:4", "error: stopped after 1 problem"])
 
 
 def hits() -> str:
-    return "\n".join(f"src/module_{f:02d}.rs:{f * 37 + h}:    let value = compute_thing(context, input_{h});" for f in range(12) for h in range(12))
+    return "\n".join(f"lib/unit{f:02d}.py:{f * 50 + h}:        total += price_of(item_{h}, currency)" for f in range(11) for h in range(13))
 
 
 def diff() -> str:
     out = []
-    for f in range(4):
-        out += [f"diff --git a/src/file{f}.rs b/src/file{f}.rs", f"--- a/src/file{f}.rs", f"+++ b/src/file{f}.rs"]
-        for h in range(4):
-            at = f * 1000 + h * 100 + 1
-            out.append(f"@@ -{at},17 +{at},17 @@ fn update_region_{h}")
-            out += [f"     let item_{f}_{h}_{n} = load_item({n}); // unchanged setup context for region {h}" for n in range(8)]
-            out += [f"-    let timeout_{f}_{h} = Duration::from_secs(30);", f"+    let timeout_{f}_{h} = Duration::from_secs(45);"]
-            out += [f"     assert!(item_{f}_{h}_{n}.is_ready()); // unchanged verification context for region {h}" for n in range(8)]
+    for f in range(5):
+        out += [f"diff --git a/lib/m{f}.py b/lib/m{f}.py", f"--- a/lib/m{f}.py", f"+++ b/lib/m{f}.py"]
+        for h in range(3):
+            at = f * 500 + h * 90 + 1
+            out.append(f"@@ -{at},19 +{at},19 @@ def step_{h}():")
+            out += [f"     before_{n} = read({f}, {n})  # same as it was" for n in range(9)]
+            out += [f"-    wait({f} + {h})", f"+    wait({f} * {h})"]
+            out += [f"     check(before_{n}, {h})  # same as it was" for n in range(9)]
     return "\n".join(out)
 
 
 def mixed() -> str:
-    rows = [{"idx": i, "name": f"pod-{i}", "phase": "CrashLoopBackOff" if i == 73 else "Running"} for i in range(200)]
-    return "\n".join(["$ kubectl get pods -o json", compact(rows), "TOTAL: 200 pods listed"])
+    rows = [{"n": i, "host": f"box{i}", "state": "lost" if i == 50 else "up"} for i in range(150)]
+    return "\n".join(["$ list-hosts --json", compact(rows), "150 hosts in 2 racks"])
 
 
-STATUS = "Routine status: the compatibility test matrix completed successfully on all supported platforms. No new failures, decisions, or follow-up actions were reported in this update."
+REPEATED = "The night shift walked both halls and read every gauge. Nothing was out of range, and no valve had to be touched."
 
 
 def prose() -> str:
-    first = "Weekly engineering status report. Exact duplicate updates should be collapsed while the first occurrence and all unique conclusions remain visible."
-    return "\n\n".join([first, *[STATUS] * 14, "Conclusion: continue monitoring the release candidate and escalate only newly observed failures."])
+    first = "Notes of the plant for October. What is said twice should be read once, and what is said once should stay."
+    return "\n\n".join([first, *[REPEATED] * 12, "Decision: keep the second pump running until the seal has been replaced."])
 
 
 def prose_with_secret() -> str:
     parts = [
-        "The service exposes a REST API for managing user accounts and preferences. Requests are authenticated via bearer tokens issued by the identity provider. Rate limits apply per tenant and per API key, with separate quotas for read and write operations. Clients should implement exponential backoff on 429.",
-        "Deployment credentials: api_key=sk-demo-Xk9mQ2vLpZ7wRtY4uHj6nB8cE5fG3aD1sWq2eRt. Do not commit this value to version control or share it in chat channels.",
+        "The gateway takes orders over a small set of routes. Callers sign each request, and limits count by shop and hour. Clients that are told to wait should wait twice as long each time.",
+        "For the rehearsal: api_key=rk-live-Zt81mQx7Lp3wVb9sKd2fHn6yRc4gTa5u. It must not leave this page, and it must not be lost from it either.",
     ]
-    parts += [f"Historical note {i}: the legacy stack ran on bare metal with manual deploys. Each release required SSH access and a checklist printed on paper. The team celebrated every Friday deployment that did not page anyone at night." for i in range(12)]
+    parts += [f"Year {i} of the archive: letters were sorted by hand. Every drawer had a list, and every list had a gap. The keeper wrote both down and went home." for i in range(11)]
     return "\n\n".join(parts)
 
 
 def config() -> str:
-    parts = "".join(f"\n# Component {i} keeps explicit runtime settings.\ncomponent_{i}:\n  image: registry.example.com/service-{i}:2026.09.04\n  replicas: 3\n  port: {8100 + i}\n  healthPath: /components/{i}/health\n" for i in range(14))
-    return f"---\n# Production service configuration.\nservice:\n  name: context-platform\n  namespace: production\n  owner: context-team\n{parts}\n# The comments remain available through stash recovery.\nrollout:\n  strategy: RollingUpdate\n  maxUnavailable: 0\n  maxSurge: 1\n"
+    parts = "".join(f"\n# How worker {i} is run.\nworker_{i}:\n  command: run --slot {i}\n  copies: 2\n  port: {9000 + i}\n" for i in range(16))
+    return f"---\n# Settings of the test bench.\nbench:\n  name: small\n  room: basement\n{parts}\n# Nothing below is used yet.\nlater:\n  when: never\n"
 
 
 def table() -> str:
-    rows = [f"| {i} | " + ('"service, edge"' if i == 159 else f"service-{i}") + f" | us-east-1 | {'degraded' if i == 137 else 'healthy'} | platform | {480 if i == 137 else 40 + i % 30} |" for i in range(160)]
-    return "\n".join(["| id | service | region | status | owner | latency_ms |", "| --- | --- | --- | --- | --- | --- |", *rows])
+    rows = [f"| {i} | " + ('"bolt, long"' if i == 120 else f"bolt{i}") + f" | shelf 4 | {'gone' if i == 77 else 'there'} | {10 + i % 20} |" for i in range(140)]
+    return "\n".join(["| nr | part | place | state | count |", "| --- | --- | --- | --- | --- |", *rows])
 
 
 PYTHON = "import os\n\n" + "".join(f'def f{k}(a):\n    """First line.\n\n    More of it.\n    """\n' + "".join(f"    x{i} = a + {i}\n" for i in range(30)) + "    return x1\n\n\n" for k in range(3))
@@ -77,9 +77,13 @@ JAVASCRIPT = "function foo(a, b) {\n" + "".join(f"  const x{i} = a * {i};\n" for
 
 #: name: text, query, whether line hints are asked for, bytes before and after, tokens saved, status.
 SIZES = {
-    "issues": (issues(), "", False, 18397, 12448, 1785, "lossless"), "pretty": (pretty(), "", False, 3642, 973, 801, "lossless"),
-    "build_log": (build_log(), "", False, 3073, 1543, 459, "lossless"), "diff": (diff(), "timeout", True, 23007, 7795, 4564, "lossy"),
-    "mixed": (mixed(), "", False, 9240, 3879, 1608, "lossless"), "prose": (prose(), "compatibility failures", False, 2723, 454, 680, "lossy"),
-    "secret": (prose_with_secret(), "rate limits", False, 3125, 1540, 476, "lossy"), "config": (config(), "", False, 2698, 1994, 211, "lossy"),
-    "table": (table(), "degraded latency", False, 9479, 7275, 661, "lossy"),
+    "issues": (issues(), "", False, 15796, 10447, 1604, "lossless"),
+    "pretty": (pretty(), "", False, 6002, 1280, 1417, "lossless"),
+    "build_log": (build_log(), "", False, 2724, 858, 560, "lossless"),
+    "diff": (diff(), "wait", True, 13141, 4154, 2696, "lossy"),
+    "mixed": (mixed(), "", False, 5674, 1961, 1114, "lossless"),
+    "prose": (prose(), "gauge range", False, 1560, 327, 369, "lossy"),
+    "secret": (prose_with_secret(), "limits", False, 1927, 1019, 273, "lossy"),
+    "config": (config(), "", False, 1469, 1084, 115, "lossy"),
+    "table": (table(), "gone count", False, 5593, 3950, 493, "lossy"),
 }

@@ -14,7 +14,7 @@ from condensa.kernels.base import Context, Skip
 
 
 @pytest.mark.parametrize("name", SIZES)
-def test_published_sizes(name):
+def test_recorded_sizes(name):
     text, query, hints, before, after, saved, status = SIZES[name]
     out = block.shrink_block(text, query, stash_dir="/tmp/stash" if hints else None)
     assert (base.nbytes(text), base.nbytes(out.text), out.tokens_before - out.tokens_after, out.status) == (before, after, saved, status)

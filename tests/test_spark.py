@@ -129,7 +129,7 @@ def test_requests_are_shrunk_in_place(spark, bodies, tmp_path):
     assert got["unknown"] == json.dumps(BODIES["unknown"]) and got["responses "] == json.dumps(BODIES["responses "])
     a, before = json.loads(got["anthropic"])["messages"], BODIES["anthropic"]["messages"]
     assert a[0] == before[0] and a[1] == before[1] and a[2]["content"][1:] == before[2]["content"][1:]
-    assert a[2]["content"][0]["content"].startswith("[200]{")
+    assert a[2]["content"][0]["content"].startswith("[180]{")
     assert {r.request_id: r.compressed for r in counts.collect()} == {"anthropic": 1, "chat_completions": 2, "responses": 2}
 
 
@@ -198,6 +198,6 @@ def test_api(spark, tmp_path):
     assert r["status"] == "lossy" and e.retrieve(r["stash_key"]) == SIZES["diff"][0]
     assert e.retrieve_lines(r["stash_key"], 1, 1).text.startswith("diff --git")
     body, counts = e.request(json.dumps(BODIES["responses"]))
-    assert counts["compressed"] == 2 and "[200]{" in body
+    assert counts["compressed"] == 2 and "[180]{" in body
     api.register(spark)
     assert spark.sql("select condensa_tokens('abcd'), length(condensa_key('x')), condensa_type('[1]')").first() == (2, 24, "json_array")
