@@ -44,10 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+#: Rows of a few numbers for each file of a checkpoint whose number of rows is known.
+ROWS_PER_FILE = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    With ``rows``, the most rows that ``df`` can have, a small result is not written as a file for each partition.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from condensa.llm.common import cut
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star step, then one small-star step, of distinct edges (u, v)."""
+def _star(edges: DataFrame, rows: int) -> DataFrame:
+    """One large-star step, then one small-star step, of ``rows`` distinct edges (u, v)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # what is joined back is stored first: both sides are then dealt out by the join, which may split the edges of a hub
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+    down = cut(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), rows)
     small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -29,12 +29,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.select("u", "v").where("u <> v").distinct())  # else each use would find the links anew
     before = None
+    rows = edges.count()
     for _ in range(most_rounds):
-        edges = cut(_star(edges))
+        edges = cut(_star(edges, rows), 2 * rows)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError("components did not settle")

@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
     reached = components(links(classes.select("fp"), differing))
     rooted = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # stored, so that the join may split the rows of one root
-    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), own.count())
     of = rooted.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -260,7 +260,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
     reached = components(similar_links(classes))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    first = cut(rooted.groupBy("root").agg(F.min("least").alias("first")))
+    first = cut(rooted.groupBy("root").agg(F.min("least").alias("first")), own.count())
     of = rooted.join(first, "root").select("node", "first")
     return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", F.col("first").dropFields("none").alias("first"))
 
