@@ -27,10 +27,12 @@ from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, mix
 @dataclass(frozen=True)
 class FtrlConfig:
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 0.7
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 5.0
     l2: float = 1.0
+    #: How often the sample is streamed past the learner.
+    epochs: int = 2
     #: The classifier is fitted on this many labelled rows at most (those of smallest hash of the id).
     max_train_rows: int = 16_384
 
@@ -100,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
 
     # one task sees the rows in a fixed order, so that the model does not depend on the layout of the input
     made = texts.select("h", "toxic", "text").mapInArrow(features, "h long, toxic int, at binary")
-    model = made.repartition(1).sortWithinPartitions("h", "at").mapInArrow(learn, "at long, w double").toPandas()
+    made = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(c.epochs))))
+    model = made.repartition(1).sortWithinPartitions("epoch", "h", "at").mapInArrow(learn, "at long, w double").toPandas()
     if model.empty:
         return np.zeros(0, np.int64), np.zeros(0), math.log(0.1 / 0.9)
     at, w = model["at"].to_numpy(), model["w"].to_numpy()
