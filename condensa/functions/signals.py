@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from condensa.functions.core import C, col
+from condensa.functions.core import C, col, let
 from condensa.kernels import loglines
 
 # Words by category, in the order in which they count; scores.
@@ -37,6 +39,24 @@ def level(line: C) -> Column:
     return out
 
 
+def log_format(lines: Column) -> Column:
+    """The tool whose marks most of the first 100 lines have, or generic."""
+
+    def best(xs: Column) -> Column:
+        hits = [_marked(xs, marks) for marks in loglines.FORMATS.values()]
+        out, top = F.lit("generic"), F.greatest(*hits)
+        for name, n in reversed(list(zip(loglines.FORMATS, hits, strict=True))):
+            out = F.when((n > 0) & (n == top), name).otherwise(out)
+        return out
+
+    return let(F.slice(lines, 1, 100), best)
+
+
+def _marked(xs: Column, marks: list[str]) -> Column:
+    pattern = "|".join(map(re.escape, marks))
+    return F.size(F.filter(xs, lambda x: x.rlike(pattern)))
+
+
 def level_score(name: C) -> Column:
     out = F.lit(loglines.SCORES["unknown"])
     for k, v in loglines.SCORES.items():

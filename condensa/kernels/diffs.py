@@ -111,6 +111,10 @@ def near_changes(hunk: Hunk, context: int) -> Hunk:
     return Hunk(hunk.header, hunk.at, [hunk.lines[i] for i in keep], [hunk.places[i] for i in keep], hunk.score)
 
 
+def _context(hunk: Hunk) -> int:
+    return sum(x[:1] in ("", " ") for x in hunk.lines)
+
+
 def noise_free(text: str, config: DiffConfig = DIFF) -> str | None:
     """Bodies of lock files and of files in which only white space changed become a note, if they are half of the diff."""
     lines = rust_lines(text)
@@ -157,13 +161,21 @@ def reduced(text: str, query: str = "", config: DiffConfig = DIFF, note: bool =
     for f in files:
         for h in f.hunks:
             h.score = score(h, query)
+    every = files
     if len(files) > config.files:
         files = sorted(files, key=lambda f: -(f.count("+") + f.count("-")))[: config.files]
     out, kept, dropped = list(before), list(range(len(before))), 0
+    largest, context_kept, per_file = {"kept": 0, "dropped": 0}, 0, {}
     added, deleted = sum(f.count("+") for f in files), sum(f.count("-") for f in files)
     for f in files:
-        hunks = [near_changes(h, config.context) for h in best_hunks(f.hunks, config.hunks)]
+        best = best_hunks(f.hunks, config.hunks)
+        hunks = [near_changes(h, config.context) for h in best]
         dropped += len(f.hunks) - len(hunks)
+        if len(best) < len(f.hunks):
+            per_file[f"{f.old} -> {f.new}"] = len(f.hunks) - len(best)
+            largest["dropped"] = max(largest["dropped"], *(len(h.lines) for h in f.hunks if h not in best))
+        largest["kept"] = max([largest["kept"], *(len(h.lines) for h in hunks)])
+        context_kept += sum(map(_context, hunks))
         kept += f.places
         out += [f.header, *f.renames, *[f"{f.mode} file mode 100644"] * bool(f.mode)]
         if f.binary:
@@ -180,7 +192,16 @@ def reduced(text: str, query: str = "", config: DiffConfig = DIFF, note: bool =
     made = "\n".join(out)
     if note and n < len(lines) * config.marker_below:
         made += f"\n[{len(lines)} lines compressed to {n}. Retrieve full diff: hash={stash_key(text)}]"
-    return made, kept, {"files": len(files), "additions": added, "deletions": deleted, "hunks_dropped": dropped}
+    context = sum(_context(h) for f in every for h in f.hunks)
+    info = {
+        "input_lines": len(lines), "output_lines": n, "ratio": n / len(lines), "files": len(every), "files_kept": len(files),
+        "files_dropped": [f"{f.old} -> {f.new}" for f in every if f not in files], "hunks": sum(len(f.hunks) for f in every),
+        "hunks_kept": sum(len(f.hunks) for f in files) - dropped, "hunks_dropped": dropped, "hunks_dropped_per_file": per_file,
+        "context": context, "context_kept": context_kept, "context_trimmed": max(0, context - context_kept), "largest_kept": largest["kept"],
+        "largest_dropped": largest["dropped"], "modes_normalised": sum(bool(f.mode) for f in files), "binaries_simplified": sum(f.binary for f in files),
+        "marked": note and n < len(lines) * config.marker_below, "additions": added, "deletions": deleted,
+    }
+    return made, kept, info
 
 
 def shrink_diff(text: str, ctx: Context, config: DiffConfig = DIFF) -> Shrunk:

@@ -69,6 +69,24 @@ def relevance(docs: list[list[str]], query: str, config: TextConfig = TEXT) -> l
     return [x / top for x in out] if top > 0 else out
 
 
+def relevance_alone(query: str, document: str, config: TextConfig = TEXT) -> float:
+    """BM25 of one document that is the whole corpus; words of the query count as often as they stand in it."""
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    own = Counter(cut(document))
+    n = sum(own.values())
+    out = 0.0
+    for w in cut(query):
+        if own[w]:
+            # one document, which has the word: its frequency in the corpus is 1, and its length is the mean
+            out += math.log(0.5 / 1.5 + 1) * own[w] * (config.k1 + 1) / (own[w] + config.k1 * (1 - config.b + config.b * n / max(1.0, n)))
+    return out
+
+
+def rank(query: str, documents: list[str]) -> list[int]:
+    """Documents by relevance, the first of equals first."""
+    return sorted(range(len(documents)), key=lambda i: -relevance_alone(query, documents[i]))
+
+
 def salient(word: str) -> bool:
     return bool(re.search(r"\d", word)) or word.strip("_") in SALIENT
 

@@ -125,4 +125,7 @@ def shrink_search(text: str, ctx: Context, config: SearchConfig = SEARCH, groupe
     n, m = sum(map(len, files.values())), sum(map(len, chosen.values()))
     if n >= config.min_matches and nbytes(made) / max(1, nbytes(text)) < config.marker_below:
         made += f"\n[{n} matches compressed to {m}. Retrieve more: hash={stash_key(text)}]"
-    return Shrunk(made, info={"matches": n, "kept": m, "files": len(files), "unparsed": len(other)})
+    gone = {f: len(h) for f, h in files.items() if f not in chosen}
+    info = {"matches": n, "kept": m, "files": len(files), "files_dropped": len(gone), "unparsed": len(other), "scanned": n + len(other)}
+    info["matches_dropped_in_files"] = sum(len(files[f]) - len(h) for f, h in chosen.items())
+    return Shrunk(made, info=info | {"matches_dropped_with_files": sum(gone.values()), "tokens_saved": max(0, nbytes(text) - nbytes(made)) // 4})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def bm25(segs: DataFrame, key: str, pos: str, words: Column, query: list[str], n
     return scored.join(top, key).select(key, pos, F.when(F.col("top") > 0, F.col("relevance") / F.col("top")).otherwise(F.lit(0.0)).alias("relevance"))
 
 
+def relevance_alone(document: Column, query: str) -> Column:
+    """BM25 of one document that is the whole corpus; words of the query count as often as they stand in it."""
+    asked = re.findall(r"[^\W_]+", query.lower())
+
+    def score(ws: Column) -> Column:
+        n = F.size(ws)
+        norm = TEXT.k1 * (1 - TEXT.b + TEXT.b * n / F.greatest(n, F.lit(1)))
+
+        def part(word: str) -> Column:
+            f = F.size(F.filter(ws, lambda x: x == word))
+            return F.when(f > 0, F.log(F.lit(0.5 / 1.5 + 1)) * f * (TEXT.k1 + 1) / (f + norm)).otherwise(F.lit(0.0))
+
+        return sum((part(w) for w in asked), F.lit(0.0))
+
+    return let(F.regexp_extract_all(F.lower(document), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), score)
+
+
 def salience(words: Column) -> Column:
     """Share of words that are numbers or words of trouble."""
     hit = lambda w: w.rlike("[0-9]") | F.regexp_replace(w, "^_+|_+$", "").isin(*sorted(SALIENT))

@@ -457,6 +457,14 @@ def extract_select(t: Tables) -> DataFrame:
     return ranking.select_within(scored, "doc_id", "pos", "score", "nb").select("doc_id", "pos", "nb")
 
 
+@query(
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, list_transform(['thnt', 'erble', 'thnt'], lambda q: len(list_filter(w, lambda x: x = q))) AS tf FROM w)
+    SELECT doc_id, CAST(round(list_sum(list_transform(tf, lambda f: CASE WHEN f > 0 THEN ln(CAST(0.5 AS DOUBLE) / 1.5 + 1) * f * 2.2 / (f + 1.2) ELSE 0 END)), 6) AS DOUBLE) AS relevance FROM f"""
+)
+def relevance_alone(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(ranking.relevance_alone(F.col("text"), "thnt erble thnt"), 6).alias("relevance"))
+
+
 @query(
     f"""WITH s AS (SELECT doc_id, {_WORD_TOKENS.replace('line', 'text')} AS w FROM documents), h AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR list_contains(['assert','error','exception','fail','failed','failure','fixme','todo','traceback','warning'], trim(x, '_')))) AS k FROM s)
     SELECT doc_id, n, CAST(round(k / (n + 1.0), 6) AS DOUBLE) AS salience FROM h"""
@@ -526,6 +534,14 @@ def log_levels(t: Tables) -> DataFrame:
     return lines.classify(t.log_lines()).select("block", "pos", "level", "summary", "command")
 
 
+@query(
+    f"""WITH b AS ({_AS_TEXT.format(lines=inputs.LOG_LINES)}), h AS (SELECT block, len(list_filter({LINES}[1:100], lambda x: contains(x, 'warning: ') OR contains(x, 'Running ') OR contains(x, 'error[E'))) AS n FROM b)
+    SELECT block, CASE WHEN n > 0 THEN 'cargo' ELSE 'generic' END AS format FROM h"""
+)
+def log_formats(t: Tables) -> DataFrame:
+    return _as_text(t.log_lines()).select("block", signals.log_format(core.lines("text")).alias("format"))
+
+
 @query(f"SELECT block, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warnings, count(*) FILTER (level = 'info') AS info, count(*) AS total FROM (SELECT block, {_LEVEL} AS level FROM ({inputs.LOG_LINES}) AS l) GROUP BY 1")
 def log_level_counts(t: Tables) -> DataFrame:
     return lines.level_counts(t.log_lines())

@@ -116,6 +116,18 @@ def test_logs():
     assert loglines.trace_lines(go) == [True] * 5 + [False]
 
 
+def test_counters():
+    assert loglines.log_format(["npm ERR! x", "npm WARN y", "PASS z"]) == "npm" and loglines.log_format(["x"]) == "generic"
+    text = "\n".join(["make: start", *[f"warning: item {i} is odd" for i in range(60)], "Traceback (most recent call last):", *[f'  File "/usr/lib/python3/x{i}.py", line {i}' for i in range(30)], "ValueError: x", "end"])
+    info = loglines.shrink_log(text, Context()).info
+    assert info["warnings_deduped"] == 59 and info["traces_seen"] == info["traces_kept"] == 1 and info["frames_collapsed"] > 0 and info["format"] == "cargo"
+    info = searchhits.shrink_search(hits(), Context()).info
+    assert info["kept"] + info["matches_dropped_in_files"] + info["matches_dropped_with_files"] == info["matches"] == 143
+    info = diffs.reduced(SIZES["diff"][0])[2]
+    assert (info["files"], info["hunks"], info["hunks_kept"], info["context_kept"] + info["context_trimmed"]) == (5, 15, 15, info["context"])
+    assert prose.rank("pump seal", ["the gauge", "a pump and its seal", "pump"]) == [1, 2, 0]
+
+
 def test_search_lines():
     assert searchhits.parse_hit("src/a.py:12:x:y") == ("src/a.py", 12, "x:y")
     assert searchhits.parse_hit("C:\\a\\b.py:3:z") == ("C:\\a\\b.py", 3, "z")
