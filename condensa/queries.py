@@ -58,7 +58,7 @@ SAMPLE = lambda n: f"list_filter({LINES}[1:{n}], lambda x: regexp_matches(x, '\\
 # ---------------------------------------------------------------- sizes, keys, gates
 
 
-@query(f"SELECT doc_id, {BYTES} AS n_bytes, {TOKENS} AS tokens, {BYTES} >= 512 AS over_gate FROM documents")
+@query(f"SELECT doc_id, CAST({BYTES} AS INTEGER) AS n_bytes, {TOKENS} AS tokens, {BYTES} >= 512 AS over_gate FROM documents")
 def token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.octet_length("text").alias("n_bytes"), core.token_estimate("text").alias("tokens"), core.over_gate("text").alias("over_gate"))
 
@@ -98,7 +98,7 @@ def retrieve_lines(t: Tables) -> DataFrame:
 @query(
     """WITH stash AS (SELECT sha256(text)[1:24] AS key, text AS content, doc_id AS stored FROM documents WHERE doc_id % 3 <> 0),
     live AS (SELECT key, any_value(content) AS content FROM stash WHERE stored >= 200 GROUP BY key)
-    SELECT doc_id, live.key IS NOT NULL AS found, octet_length(encode(content)) AS n_bytes FROM documents LEFT JOIN live ON live.key = sha256(text)[1:24]"""
+    SELECT doc_id, live.key IS NOT NULL AS found, CAST(octet_length(encode(content)) AS INTEGER) AS n_bytes FROM documents LEFT JOIN live ON live.key = sha256(text)[1:24]"""
 )
 def stash_lookup(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("key", core.stash_key("text"))
@@ -447,7 +447,7 @@ def bm25(t: Tables) -> DataFrame:
 @query(
     f"""WITH {_BM25}, x AS (SELECT doc_id, CAST(pos AS INT) AS pos, octet_length(encode(line)) AS nb, round((pos + 1.0) / n + 2.0 * relevance, 9) AS score FROM b),
     y AS (SELECT doc_id, pos, nb, score, coalesce(sum(nb) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < greatest(floor(sum(nb) OVER (PARTITION BY doc_id) * 0.5), 1) AS keep FROM x)
-    SELECT doc_id, pos, nb FROM y WHERE keep"""
+    SELECT doc_id, pos, CAST(nb AS INTEGER) AS nb FROM y WHERE keep"""
 )
 def extract_select(t: Tables) -> DataFrame:
     rows = _text_lines(t)
