@@ -74,15 +74,21 @@ def train(samples: DataFrame, config: MarkovConfig = MarkovConfig()) -> list[flo
     return out
 
 
+#: Matches of a text are placed in runs of so many, so that the work grows with their number, not with its square.
+RUN = 512
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often it stands in there, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _placed(text: Column, pattern: str, kind: int, value: int, least: int) -> Column:
     """Array of (start, kind, end, value) of the matches of a pattern whose value is long enough."""
     quick = _QUICK.get(BASE[kind][0] if kind < len(BASE) else "", pattern)
-    matches, gaps = F.regexp_extract_all(text, F.lit(quick), F.lit(0)), F.split(text, quick, -1)
-    values = F.regexp_extract_all(text, F.lit(quick), F.lit(value))
-    made = F.transform(
-        F.sequence(F.lit(1), F.size(matches)),
-        lambda i: F.struct(F.element_at(gaps, i).alias("gap"), F.element_at(matches, i).alias("hit"), F.element_at(values, i).alias("value")),
-    )
+    every = lambda g: F.regexp_extract_all(text, F.lit(quick), F.lit(g))
+    parts = F.struct(F.split(text, quick, -1).alias("gaps"), every(0).alias("hits"), every(value).alias("values"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -90,8 +96,17 @@ def _placed(text: Column, pattern: str, kind: int, value: int, least: int) -> Co
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    found = F.aggregate(made, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def runs(p: Column) -> Column:
+        cut = lambda xs, k: F.slice(xs, k * RUN + 1, F.lit(RUN))
+        made = lambda k: F.arrays_zip(cut(p["gaps"], k).alias("gap"), cut(p["hits"], k).alias("hit"), cut(p["values"], k).alias("value"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p["hits"]) - 1) / RUN).cast("int")), lambda k: F.filter(made(k), lambda x: x["hit"].isNotNull()))
+
+    def place(acc: Column, run: Column) -> Column:
+        done = F.aggregate(run, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,value:string>>>").alias("out"))
+    found = _let(parts, lambda p: F.aggregate(runs(p), start, place, lambda acc: F.flatten(acc["out"])))
     return F.when(text.rlike(quick), found).otherwise(none)
 
 
