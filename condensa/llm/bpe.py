@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,43 +121,54 @@ class Bpe:
             got = self.stable[left, right] = self.apart(left, right)
         return got
 
-    def _state(self, path: list[int], word: bytes, at: int) -> None:
-        """Last token of word[:at]; path has the nodes of all shorter prefixes, and the node itself."""
-        own, last = self.own, self.last
-        for n in self.lengths.get(word[at - 3 : at], (2, 1)) if at > 2 else (2, 1):
-            if n <= at:
-                token = own.get(word[at - n : at])
-                if token is not None and (n == at or self.fits(last[path[at - n]], token)):
-                    last[path[at]], self.before[path[at]] = token, path[at - n]
-                    return
-        raise ValueError("no token ends here")
-
     def learn(self, words: set[str]) -> None:
-        """Insert the words; walk them in depth-first order, so that each new node is encoded once."""
+        """Insert the words; walk them in depth-first order, so that each new node is encoded once.
+
+        The last token of a new node is the longest one that ends there and is stable after the last token before it;
+        ``path`` has the nodes of all shorter prefixes.
+        """
         if len(self.last) > self.MOST_NODES:
             self.clear()
+        child, last, before, known = self.child, self.last, self.before, self.words
+        own, stable, lengths, short = self.own, self.stable, self.lengths, (2, 1)
         path: list[int] = [0]
         done = b""
         for raw, word in sorted((w.encode(), w) for w in words):
-            same = next((i for i, (a, b) in enumerate(zip(done, raw)) if a != b), min(len(done), len(raw)))
-            del path[same + 1 :]
-            for i in range(same, len(raw)):
-                key = path[i] << 8 | raw[i]
-                node = self.child.get(key)
+            size, most, at = len(raw), min(len(done), len(raw)), 0
+            while at < most and done[at] == raw[at]:
+                at += 1
+            del path[at + 1 :]
+            node = path[at]
+            while at < size:
+                key = node << 8 | raw[at]
+                at += 1
+                node = child.get(key)
                 if node is None:
-                    node = self.child[key] = len(self.last)
-                    self.last.append(-1)
-                    self.before.append(-1)
-                    path.append(node)
-                    self._state(path, raw, i + 1)
-                else:
-                    path.append(node)
+                    node = child[key] = len(last)
+                    for n in lengths.get(raw[at - 3 : at], short) if at > 2 else short:
+                        if n > at:
+                            continue
+                        token = own.get(raw[at - n : at])
+                        if token is None:
+                            continue
+                        start = path[at - n]
+                        if start:
+                            fit = stable.get((last[start], token))
+                            if not (self.fits(last[start], token) if fit is None else fit):
+                                continue
+                        last.append(token)
+                        before.append(start)
+                        break
+                    else:
+                        raise ValueError("no token ends here")
+                path.append(node)
             done = raw
-            node, out = path[-1], []
+            out = []
             while node:
-                out.append(self.last[node])
-                node = self.before[node]
-            self.words[word] = tuple(reversed(out))
+                out.append(last[node])
+                node = before[node]
+            out.reverse()
+            known[word] = tuple(out)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = []
@@ -165,18 +177,13 @@ class Bpe:
             cut.append([p if p in self.special else WORDS.findall(p) for p in parts])
         if len(self.words) > self.MOST_WORDS:
             self.words = {}
-        new = {w for parts in cut for p in parts if not isinstance(p, str) for w in p if w not in self.words}
-        self.learn(new)
-        out, words = [], self.words
+        new: set[str] = set().union(*(p for parts in cut for p in parts if not isinstance(p, str)))
+        self.learn(new.difference(self.words))
+        of = self.words.__getitem__
+        out = []
         for parts in cut:
-            ids: list[int] = []
-            for p in parts:
-                if isinstance(p, str):
-                    ids.append(self.special[p])
-                else:
-                    for got in map(words.__getitem__, p):
-                        ids.extend(got)
-            out.append(np.array(ids, "<u4"))
+            ids = [(self.special[p],) if isinstance(p, str) else chain.from_iterable(map(of, p)) for p in parts]
+            out.append(np.fromiter(chain.from_iterable(ids), "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
