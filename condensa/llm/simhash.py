@@ -254,21 +254,28 @@ def similar_links(classes: DataFrame, differing: int = 3, share: float = 0.165)
     return dealt.select("place", "bytes", "fp", "node", "wide").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """(doc_id, content, first): ``first`` is the (doc_id, content) of the text that stands for the group."""
+def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
     own = cut(signatures(docs, shingle_words).withColumn("node", F.xxhash64("fps", "wide")))
     classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
     reached = components(similar_links(classes))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    first = cut(rooted.groupBy("root").agg(F.min("least").alias("first")), own.count())
-    of = rooted.join(first, "root").select("node", "first")
-    return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", F.col("first").dropFields("none").alias("first"))
+    first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
+    return own, rooted.select("node", "root"), first
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """(doc_id, content, first): ``first`` is the (doc_id, content) of the text that stands for the group."""
+    own, rooted, first = _grouped(docs, shingle_words)
+    # stored, so that the joins may split the rows of one group
+    of = cut(rooted.join(cut(first, own.count()), "root").select("node", "first"), own.count())
+    return own.select("doc_id", "content", "node").join(of, "node").select("doc_id", "content", "first")
 
 
 def drop_similar(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``docs`` without the texts that are near to one of smaller id; repeated rows are kept once."""
-    groups = similar_groups(docs, shingle_words)
-    kept = groups.select("first.*").distinct().select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
+    _, _, first = _grouped(docs, shingle_words)  # one row a group, so no group has to meet in one task
+    kept = first.select("first.*").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     both = rows.join(kept, rows["__own"].eqNullSafe(kept["__content"]) & rows["doc_id"].eqNullSafe(kept["__id"]))
     return both.dropDuplicates(["__id", "__content"]).drop("__id", "__content", "__own")
