@@ -2,9 +2,9 @@
 
 Two 64-bit fingerprints at 3 or fewer differing bits share at least 5 of their 8 bytes in place. The index has an
 entry for each choice of 5 places and the bytes there, so a pair that reaches this minimum of matches meets in at
-least one bucket, and no bucket can hold more than 2**24 distinct fingerprints. Within a bucket the shared bytes of a
-pair are tallied; the pair is verified in the first of its common buckets only. A bucket gives a forest of links, not
-all pairs of a group.
+least one bucket, and no bucket can hold more than 2**24 distinct fingerprints. Within a bucket the bytes that a pair
+shares in place are tallied; pairs that reach the minimum are verified bit by bit. A bucket gives a forest of links,
+not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
 their five-word shingles: several fingerprints of single words, which change little between such texts, go through the
@@ -76,11 +76,18 @@ def _masks(differing: int) -> list[int]:
     return [sum(0xFF << (8 * p) for p in places) for places in combinations(range(BYTES), BYTES - differing)]
 
 
+def _near(apart: np.ndarray, differing: int) -> np.ndarray:
+    """Count filter, then verification, of the differences of pairs: shared bytes are tallied, then bits counted."""
+    tally = (np.ascontiguousarray(apart).view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=-1, dtype=np.int8)
+    kept = tally >= BYTES - differing
+    kept[kept] = np.bitwise_count(apart[kept]) <= differing
+    return kept
+
+
 def _link(fps: np.ndarray, free: list[int], differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Forest of the pairs at ``differing`` or fewer bits; ``free`` are the bits in which ``fps`` may differ."""
     if len(fps) <= LEAF or len(free) <= differing:
-        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        near = apart <= differing
+        near = _near(fps[:, None] ^ fps[None, :], differing)
         root = near.argmax(axis=1)
         while True:  # smallest reachable row, by neighbours
             new = np.where(near, root[None, :], len(fps)).min(axis=1)
@@ -214,7 +221,7 @@ def _led(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray, leaders: list, di
             leaders.append((nodes[left[0]], fps[left[0]], wide[left[0]]))
             left = left[1:]
         node, fp, own = leaders[known]
-        near = np.bitwise_count(fps[left] ^ fp) <= differing
+        near = _near(fps[left] ^ fp, differing)
         near &= np.bitwise_count(wide[left] ^ own).sum(axis=1) <= share * 64 * WIDE
         links += [(int(x), int(node)) for x in nodes[left[near]] if x != node]
         left = left[~near]
