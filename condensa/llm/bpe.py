@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import chunks
+from condensa.llm.common import chunks, lean
 
 #: How byte-level BPE cuts a text into words: fixed value of the format.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             )
 
     more = "ids array<int>" if output == "ids" else "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, {more}")
+    return lean(docs).select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, {more}")
 
 
 def decode(tokens: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -57,6 +57,18 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, after asking for smaller batches of rows between Spark and Python than the default.
+
+    Texts of a default batch take tens of megabytes, several times over, in each worker. A session that set a number of
+    its own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "2000")
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import alnum_words, as_bytes, chunks, scratch
+from condensa.llm.common import alnum_words, as_bytes, chunks, lean, scratch
 
 SEGMENT_BYTES = 4_000_000
 #: Test items are broadcast in blocks of about so many bytes of text, whatever the size of the benchmark.
@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
                     ["segment", "doc_ids", "doc_starts", "terms", "term_starts", "positions"],
                 )
 
-    docs.select("doc_id", "text").mapInArrow(run, INDEX.format(ids=ids)).write.parquet(path)
+    lean(docs).select("doc_id", "text").mapInArrow(run, INDEX.format(ids=ids)).write.parquet(path)
     return docs.sparkSession.read.schema(INDEX.format(ids=ids)).parquet(path)
 
 

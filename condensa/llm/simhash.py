@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import WordHashes, as_bytes, cut, mix
+from condensa.llm.common import WordHashes, as_bytes, cut, lean, mix
 from condensa.llm.components import components
 from condensa.llm.substring import _rolled
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             out = np.array([fingerprint(t, shingle_words) for t in as_bytes(b.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
+    return lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
 
 
 def _masks(differing: int) -> list[int]:
@@ -208,7 +208,7 @@ def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
             columns = [b.column("doc_id"), b.column("content"), pa.array(fps, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "wide"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    rows = lean(docs).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
     return rows.mapInArrow(run, f"doc_id {ids}, content long, fps array<long>, wide binary")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from condensa.llm.automaton import SuffixAutomaton
-from condensa.llm.common import WordHashes, as_bytes, chunks, mix, shuffle_partitions
+from condensa.llm.common import WordHashes, as_bytes, chunks, lean, mix, shuffle_partitions
 
 WINDOW = 20
 GROUP = 10
@@ -284,7 +284,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, group: int = GROUP, te
     spark, with_texts = docs.sparkSession, texts
     ids = docs.schema["doc_id"].dataType.simpleString()
     buckets = max(shuffle_partitions(spark), 2 * docs.rdd.getNumPartitions())
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o"), "text")
+    rows = lean(docs).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o"), "text")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, got, size = WordHashes(), [], 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, mix
+from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, lean, mix
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
             yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(w[keep])], ["at", "w"])
 
     # one task sees the rows in a fixed order, so that the model does not depend on the layout of the input
-    made = texts.select("h", "toxic", "text").mapInArrow(features, "h long, toxic int, at binary")
+    made = lean(texts).select("h", "toxic", "text").mapInArrow(features, "h long, toxic int, at binary")
     made = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(c.epochs))))
     model = made.repartition(1).sortWithinPartitions("epoch", "h", "at").mapInArrow(learn, "at long, w double").toPandas()
     if model.empty:
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], config:
             out = 1 / (1 + np.exp(-np.clip(out + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return lean(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import chunks
+from condensa.llm.common import chunks, lean
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -114,4 +114,4 @@ def count_tokens(docs: DataFrame, model_file: str, key: str = "doc_id", text: st
                 out += [counter.count(t or "") for t in texts[i:j]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], [key, "n_tokens"])
 
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long")
+    return lean(docs).select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long")

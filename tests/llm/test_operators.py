@@ -40,7 +40,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     for i in range(4):  # near copies
         words[10 + 30 * i] = f"changed{i}"
         rows.append((400 + i, " ".join(words)))
-    rows += [(500, copy.upper()), (501, "<|endoftext|>a<|endoftext|> b"), (100, copy), (502, "\x00\x1f\u0085 \u00a0z")]
+    rows += [(500, copy.translate({v: k for k, v in ((a, ord(b)) for a, b in LOWER.items())})), (501, "<|endoftext|>a<|endoftext|> b"), (100, copy), (502, "\x00\x1f\u0085 \u00a0z")]
     return rows
 
 
