@@ -8,7 +8,8 @@ not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
 their five-word shingles: several fingerprints of single words, which change little between such texts, go through the
-same index, and a pair that meets there is verified by a longer fingerprint of the shingles. There, the texts of a
+same index, a pair that meets there is filtered by a longer fingerprint of the shingles, and the exact Jaccard similarity of
+the two sets of shingle hashes decides. There, the texts of a
 bucket are compared with its leaders only, in the order of their ids, so that a large group costs what it has rows.
 
 Defined results: null texts are empty texts; texts without words have fingerprint zero and link like any other;
@@ -172,6 +173,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Texts are similar from this Jaccard similarity of their shingles on, as a fraction.
+LEAST = (4, 5)
 #: Fingerprints of single words by which similar texts meet, and length of the one that verifies, in 64-bit words.
 TABLES, WIDE = 3, 4
 #: The 14 planes of the cube of byte places: each choice of 5 places holds one of them.
@@ -191,25 +194,31 @@ def _majority(hashes: np.ndarray, counts: np.ndarray | None, odd: list[int]) ->
     return np.packbits(2 * out > total, axis=1).view(np.uint64).reshape(-1)
 
 
+def _shingles(h: np.ndarray, shingle_words: int) -> np.ndarray:
+    """Distinct hashes, in order, of the shingles of a text whose words have the hashes ``h``."""
+    return np.unique(mix(_rolled(h, min(shingle_words, len(h))))) if len(h) else h
+
+
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """(doc_id, content, fps, wide): a hash of the text, the fingerprints of its words, that of its shingles."""
+    """(doc_id, content, node, fps, wide): hashes of the text and of its set of shingles, fingerprints of words and shingles."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            fps, wide = [], []
+            node, fps, wide = [], [], []
             for text in as_bytes(b.column("text")):
                 h = hashes.of(text.lower().split())
-                shingles = mix(_rolled(h, min(shingle_words, len(h)))) if len(h) else h
+                shingles = _shingles(h, shingle_words)
+                node.append(xxhash.xxh3_64_intdigest(shingles.tobytes()))
                 each, counts = np.unique(h, return_counts=True)
                 fps.append(_majority(each, counts, _ODD[:TABLES]).view(np.int64).tolist())
                 wide.append(_majority(shingles, None, _ODD[TABLES:]).tobytes())
-            columns = [b.column("doc_id"), b.column("content"), pa.array(fps, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "wide"])
+            columns = [b.column("doc_id"), b.column("content"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "fps", "wide"])
 
     rows = lean(docs).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    return rows.mapInArrow(run, f"doc_id {ids}, content long, fps array<long>, wide binary")
+    return rows.mapInArrow(run, f"doc_id {ids}, content long, node long, fps array<long>, wide binary")
 
 
 def _led(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray, leaders: list, differing: int, share: float) -> list[tuple[int, int]]:
@@ -261,11 +270,52 @@ def similar_links(classes: DataFrame, differing: int = 3, share: float = 0.165)
     return dealt.select("place", "bytes", "fp", "node", "wide").mapInArrow(run, "u long, v long").distinct()
 
 
+def _sets(docs: DataFrame, of: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles): the set of shingle hashes of each node of ``of`` (node, least), from the text that stands for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [_shingles(hashes.of(t.lower().split()), shingle_words).tobytes() for t in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    rows = lean(docs).select(F.col("doc_id").alias("__id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__content"))
+    own = rows.join(of, (F.col("__content") == F.col("least.content")) & F.col("__id").eqNullSafe(F.col("least.doc_id")))
+    sets = own.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # repeated rows
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _similar(shared: int, a: int, b: int) -> bool:
+    """Whether sets of ``a`` and ``b`` elements, ``shared`` of them common, have the Jaccard similarity that is asked for."""
+    return LEAST[1] * shared >= LEAST[0] * (a + b - shared)
+
+
+def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``links`` (u, v) whose two sets of shingles are similar, by their exact Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("a", "b"))
+            near = [_similar(_shared(x, y), len(x), len(y)) for x, y in zip(*both, strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    one = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
-    own = cut(signatures(docs, shingle_words).withColumn("node", F.xxhash64("fps", "wide")))
+    own = cut(signatures(docs, shingle_words))
     classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
-    reached = components(similar_links(classes))
+    found = cut(similar_links(classes))
+    met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))
+    reached = components(verified(found, sets))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
     return own, rooted.select("node", "root"), first

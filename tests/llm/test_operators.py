@@ -400,6 +400,33 @@ def test_in_reference(spark, docs, monkeypatch):
     assert covered == set(range(10, 80)) and {d for d, _, _ in got} == {1}
 
 
+SCHEMA = "doc_id long, text string"
+
+
+def similarity(a, b, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(words, changes, fresh, start=10):
+    """``words`` with so many of them replaced, at even distances."""
+    words = list(words)
+    for k in range(changes):
+        words[start + k * (len(words) - start) // changes] = f"{fresh}{k}"
+    return words
+
+
+def test_similar_pairs_below_the_threshold_stay(spark):
+    draw, rows, want = random.Random(31), [], set()
+    for i in range(0, 400, 2):
+        words = [f"w{draw.randrange(3000)}" for _ in range(300)]
+        pair = [" ".join(words), " ".join(edited(words, 7, "x"))]
+        assert similarity(*pair) < 0.8
+        rows += [(i, pair[0]), (i + 1, pair[1])]
+        want |= {i, i + 1}
+    assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 # ---------------------------------------------------------------- 8 nearest neighbours
 
 
