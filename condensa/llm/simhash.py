@@ -7,10 +7,8 @@ shares in place are tallied; pairs that reach the minimum are verified bit by bi
 not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
-their five-word shingles: several fingerprints of single words, which change little between such texts, go through the
-same index, a pair that meets there is filtered by a longer fingerprint of the shingles, and the exact Jaccard similarity of
-the two sets of shingle hashes decides. There, the texts of a
-bucket are compared with its leaders only, in the order of their ids, so that a large group costs what it has rows.
+their five-word shingles: texts meet by bands of minima of their shingle hashes, which a pair shares with a probability
+that depends on its Jaccard similarity only, and the exact similarity of the two sets of shingle hashes decides.
 
 Defined results: null texts are empty texts; texts without words have fingerprint zero and link like any other;
 equal texts, and repeated rows, share a fingerprint and so a component. Null ids are kept as rows; they never are the
@@ -175,23 +173,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
 
 #: Texts are similar from this Jaccard similarity of their shingles on, as a fraction.
 LEAST = (4, 5)
-#: Fingerprints of single words by which similar texts meet, and length of the one that verifies, in 64-bit words.
-TABLES, WIDE = 3, 4
-#: The 14 planes of the cube of byte places: each choice of 5 places holds one of them.
-PLANES = [p for p in combinations(range(BYTES), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
-_ODD = [(0x9E3779B97F4A7C15 * (2 * i + 3) | 1) % (1 << 64) for i in range(TABLES + WIDE)]
+#: A text has so many keys, each of so many minima of its shingles: a pair at 0.8 shares one in all but 3 of a million cases.
+BANDS, ROWS = 32, 5
+_ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray | None, odd: list[int]) -> np.ndarray:
-    """Of each multiplier, the 64-bit fingerprint of the hashes spread by it."""
-    out = np.zeros((len(odd), 64), np.int64)
-    for s in range(0, len(hashes), 8192):
-        own = hashes[s : s + 8192]
-        for k, m in enumerate(odd):
-            bits = np.unpackbits(mix(own * np.uint64(m)).view(np.uint8).reshape(-1, 8), axis=1)
-            out[k] += bits.sum(axis=0, dtype=np.int64) if counts is None else counts[s : s + 8192] @ bits
-    total = len(hashes) if counts is None else int(counts.sum())
-    return np.packbits(2 * out > total, axis=1).view(np.uint64).reshape(-1)
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes, for each band of the minima of the set under so many orders."""
+    if not len(shingles):
+        return shingles
+    least = np.full(len(_ODD), 2**64 - 1, np.uint64)
+    for s in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[s : s + 1024] * _ODD[:, None]).min(axis=1))
+    return mix((mix(least).reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
 def _shingles(h: np.ndarray, shingle_words: int) -> np.ndarray:
@@ -200,74 +194,42 @@ def _shingles(h: np.ndarray, shingle_words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """(doc_id, content, node, fps, wide): hashes of the text and of its set of shingles, fingerprints of words and shingles."""
+    """(doc_id, content, node, bands): hashes of the text and of its set of shingles, keys by which similar sets meet."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            node, fps, wide = [], [], []
+            node, bands = [], []
             for text in as_bytes(b.column("text")):
-                h = hashes.of(text.lower().split())
-                shingles = _shingles(h, shingle_words)
+                shingles = _shingles(hashes.of(text.lower().split()), shingle_words)
                 node.append(xxhash.xxh3_64_intdigest(shingles.tobytes()))
-                each, counts = np.unique(h, return_counts=True)
-                fps.append(_majority(each, counts, _ODD[:TABLES]).view(np.int64).tolist())
-                wide.append(_majority(shingles, None, _ODD[TABLES:]).tobytes())
-            columns = [b.column("doc_id"), b.column("content"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "fps", "wide"])
+                bands.append(_bands(shingles).view(np.int64))
+            columns = [b.column("doc_id"), b.column("content"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "bands"])
 
     rows = lean(docs).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    return rows.mapInArrow(run, f"doc_id {ids}, content long, node long, fps array<long>, wide binary")
-
-
-def _led(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray, leaders: list, differing: int, share: float) -> list[tuple[int, int]]:
-    """Links of texts to the first leader they are near to; those without one become leaders."""
-    links, left = [], np.arange(len(nodes))
-    known = 0
-    while len(left):
-        if known == len(leaders):
-            leaders.append((nodes[left[0]], fps[left[0]], wide[left[0]]))
-            left = left[1:]
-        node, fp, own = leaders[known]
-        near = _near(fps[left] ^ fp, differing)
-        near &= np.bitwise_count(wide[left] ^ own).sum(axis=1) <= share * 64 * WIDE
-        links += [(int(x), int(node)) for x in nodes[left[near]] if x != node]
-        left = left[~near]
-        known += 1
-    return links
-
-
-def similar_links(classes: DataFrame, differing: int = 3, share: float = 0.165) -> DataFrame:
-    """Links (u, v) between the ``node``s of ``classes`` (node, least, fps, wide) that are near."""
-    keys = [
-        F.struct(F.lit(t * len(PLANES) + k).alias("place"), F.get("fps", t).bitwiseAND(_signed(sum(0xFF << (8 * p) for p in plane))).alias("bytes"), F.get("fps", t).alias("fp"))
-        for t in range(TABLES)
-        for k, plane in enumerate(PLANES)
-    ]
-    entries = classes.select("node", "least", "wide", F.explode(F.array(*keys)).alias("k")).select("k.*", "node", "least", "wide")
+    return rows.mapInArrow(run, f"doc_id {ids}, content long, node long, bands array<long>")
+
+
+def similar_links(classes: DataFrame) -> DataFrame:
+    """(key, u, v): of the ``node``s of ``classes`` (node, least, bands) with a key, each is a candidate with the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
+        last = lead = None
         for b in batches:
-            place, part = (b.column(c).to_numpy() for c in ("place", "bytes"))
-            nodes, fps = b.column("node").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
-            wide = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
-            edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(place)]
-            found: list[tuple[int, int]] = []
-            for s, e in zip(edges, edges[1:]):
-                if s == e:
-                    continue
-                key = (place[s], part[s])
-                if key != last:
-                    last, leaders = key, []
-                if leaders or e - s > 1 or e == len(place):
-                    found += _led(nodes[s:e], fps[s:e], wide[s:e], leaders, differing, share)
-            u, v = list(zip(*found, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    dealt = entries.repartition("place", "bytes").sortWithinPartitions("place", "bytes", "least", "node")
-    return dealt.select("place", "bytes", "fp", "node", "wide").mapInArrow(run, "u long, v long").distinct()
+            key, node = (b.column(c).to_numpy() for c in ("key", "node"))
+            if not len(key):
+                continue
+            first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            leads = np.where(at < 0, node[0] if lead is None else lead, node[at])
+            last, lead = key[-1], leads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (key, node, leads)], ["key", "u", "v"])
+
+    entries = classes.select("node", "least", F.explode("bands").alias("key"))
+    dealt = entries.repartition("key").sortWithinPartitions("key", "least", "node")
+    return dealt.select("key", "node").mapInArrow(run, "key long, u long, v long")
 
 
 def _sets(docs: DataFrame, of: DataFrame, shingle_words: int) -> DataFrame:
@@ -311,11 +273,11 @@ def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
     own = cut(signatures(docs, shingle_words))
-    classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
+    classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("bands").alias("bands"))
     found = cut(similar_links(classes))
     met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))
-    reached = components(verified(found, sets))
+    reached = components(verified(found.select("u", "v").distinct(), sets))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
     return own, rooted.select("node", "root"), first

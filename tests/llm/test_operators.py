@@ -427,6 +427,16 @@ def test_similar_pairs_below_the_threshold_stay(spark):
     assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == want
 
 
+def test_similar_pairs_from_the_threshold_on_are_found(spark):
+    draw, rows = random.Random(32), []
+    for i in range(0, 400, 2):
+        words = [f"w{draw.randrange(30000)}" for _ in range(200 if i % 4 else 800)]
+        pair = [" ".join(words), " ".join(edited(words, 4 if i % 4 else 16, "x"))]
+        assert 0.8 <= similarity(*pair) < 0.83
+        rows += [(i, pair[0]), (i + 1, pair[1])]
+    assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(0, 400, 2))
+
+
 # ---------------------------------------------------------------- 8 nearest neighbours
 
 
