@@ -8,7 +8,9 @@ not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
 their five-word shingles: texts meet by bands of minima of their shingle hashes, which a pair shares with a probability
-that depends on its Jaccard similarity only, and the exact similarity of the two sets of shingle hashes decides.
+that depends on its Jaccard similarity only, and the exact similarity of the two sets of shingle hashes decides. The texts of
+a bucket are compared with its first one; then, where that leaves several components in a bucket, with all that are not
+in their own component. So all similar pairs that meet are connected.
 
 Defined results: null texts are empty texts; texts without words have fingerprint zero and link like any other;
 equal texts, and repeated rows, share a fingerprint and so a component. Null ids are kept as rows; they never are the
@@ -251,7 +253,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def _similar(shared: int, a: int, b: int) -> bool:
+def _similar(shared: int | np.ndarray, a: int, b: int | np.ndarray) -> bool | np.ndarray:
     """Whether sets of ``a`` and ``b`` elements, ``shared`` of them common, have the Jaccard similarity that is asked for."""
     return LEAST[1] * shared >= LEAST[0] * (a + b - shared)
 
@@ -270,6 +272,69 @@ def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+#: The sets of a bucket are indexed in parts of about so many hashes.
+PART = 1_000_000
+
+
+def _forest(sets: list[np.ndarray], roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between texts of different ``roots`` that connect all similar pairs of them.
+
+    Each text is compared with all others, but for those of the largest group: a pair of two groups has one of the rest.
+    """
+    _, of = np.unique(roots, return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    asking = np.flatnonzero(of != np.bincount(of).argmax())
+    part = np.cumsum(sizes) // PART
+    for own in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(part)) + 1):
+        every, at = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True)
+        holders = np.repeat(np.arange(len(own)), sizes[own])[np.argsort(at, kind="stable")]
+        count = np.bincount(at, minlength=len(every))
+        start = np.cumsum(count) - count
+        for i in asking:
+            if (of[own] == of[i]).all():
+                continue
+            k = np.minimum(np.searchsorted(every, sets[i]), len(every) - 1)
+            k = k[every[k] == sets[i]]
+            places = np.arange(count[k].sum()) + np.repeat(start[k] - (np.cumsum(count[k]) - count[k]), count[k])
+            shared = np.bincount(holders[places], minlength=len(own))
+            near = own[_similar(shared, sizes[i], sizes[own]) & (of[own] != of[i])]
+            for j in near[np.unique(of[near], return_index=True)[1]].tolist():
+                yield int(i), j
+                of[of == of[j]] = of[i]
+
+
+def missing_links(met: DataFrame, reached: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of similar texts that meet in ``met`` (key, u, v) but are not yet ``reached`` (node, root) from each other.
+
+    Every text of a bucket was compared with its first one. So only buckets of three or more texts in several
+    components are gone through again; of buckets with the same texts, one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "root", "shingles")), strict=True):
+                if row[0] != last:
+                    yield from found(held)
+                    last, held = row[0], []
+                held.append(row[1:])
+        yield from found(held)
+
+    def found(held: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            nodes, roots, sets = zip(*held, strict=True)
+            links = [(nodes[i], nodes[j]) for i, j in _forest([np.frombuffer(x, np.uint64) for x in sets], np.array(roots))]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
+
+    texts = met.select("key", F.col("u").alias("node")).union(met.select("key", F.col("v").alias("node")).distinct())
+    texts = cut(texts.join(reached, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    each = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("same"))
+    again = each.where("n > 2 and lo <> hi").groupBy("same", "n").agg(F.min("key").alias("key")).select("key")
+    dealt = texts.join(again, "key").join(sets, "node").repartition("key").sortWithinPartitions("key")
+    return dealt.select("key", "node", "root", "shingles").mapInArrow(run, "u long, v long").distinct()
+
+
 def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
     own = cut(signatures(docs, shingle_words))
@@ -277,7 +342,9 @@ def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame,
     found = cut(similar_links(classes))
     met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))
-    reached = components(verified(found.select("u", "v").distinct(), sets))
+    near = cut(verified(found.select("u", "v").distinct(), sets))
+    more = cut(missing_links(found, components(near), sets))
+    reached = components(near.union(more))
     rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
     return own, rooted.select("node", "root"), first
@@ -292,7 +359,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``docs`` without the texts that are near to one of smaller id; repeated rows are kept once."""
+    """One text, that of smallest id, of each group of ``docs`` that similar pairs connect; repeated rows are kept once."""
     _, _, first = _grouped(docs, shingle_words)  # one row a group, so no group has to meet in one task
     kept = first.select("first.*").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -437,6 +437,43 @@ def test_similar_pairs_from_the_threshold_on_are_found(spark):
     assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(0, 400, 2))
 
 
+def test_texts_near_to_a_follower_only_are_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 500)
+    draw, rows, want = random.Random(33), [], set()
+    for i in range(0, 300, 3):
+        first = [f"w{draw.randrange(30000)}" for _ in range(200)]
+        second = edited(first, 4, "x")
+        third = edited(second, 4, "y", start=25)
+        assert similarity(*map(" ".join, (first, second))) >= 0.8 > similarity(*map(" ".join, (first, third))) and similarity(*map(" ".join, (second, third))) >= 0.8
+        rows += [(i + k, " ".join(x)) for k, x in enumerate((first, second, third))]
+        want.add(i)
+    assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+@pytest.mark.parametrize("part", [300, 1_000_000])
+def test_forest_connects_all_similar_pairs(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    r = np.random.default_rng(4)
+    sets, base = [], [r.choice(5000, 60, replace=False) for _ in range(6)]
+    for _ in range(120):
+        own = base[r.integers(6)].copy()
+        own[r.choice(60, r.integers(0, 12), replace=False)] = r.integers(5000, 9000)
+        base[r.integers(6)] = own
+        sets.append(np.unique(own).astype(np.uint64))
+    roots = np.arange(120)
+    roots[1::7] = roots[1]
+
+    def joined(links):
+        of = roots.copy()
+        for i, j in links:
+            of[of == of[j]] = of[i]
+        return {frozenset(np.flatnonzero(of == x).tolist()) for x in of}
+
+    near = [(i, j) for i in range(120) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+    got = list(simhash._forest(sets, roots))
+    assert joined(got) == joined(near) and len(got) < 120 and {(max(x), min(x)) for x in got} <= set(near)
+
+
 # ---------------------------------------------------------------- 8 nearest neighbours
 
 
