@@ -33,7 +33,7 @@ class AqConfig:
     block: int = 4096
     query_block: int = 512
     #: Of each block, so many rows (and all rows that score like the last of them) are scored exactly.
-    rerank: int = 128
+    rerank: int = 1024
     seed: int = 7
 
 

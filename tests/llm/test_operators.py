@@ -503,6 +503,25 @@ def test_neighbours(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in additive.nearest(few).collect()] == [(0, 1, 1)]
 
 
+def test_recall_in_full_blocks():
+    r, c = np.random.default_rng(6), additive.AqConfig()
+    x = r.standard_normal((2 * c.block, 64))
+    books, ids, asked = additive.fit(x[: c.sample], c), np.arange(len(x)), np.arange(0, len(x), 100)
+    found = {int(q): [] for q in asked}
+    for s in range(0, len(x), c.block):
+        own = x[s : s + c.block]
+        codes = np.concatenate([books.encode(own[i : i + 512], c.beam) for i in range(0, len(own), 512)])
+        block = {"n": len(own), "ids": ids[s : s + c.block].tobytes(), "x": own.tobytes(), "codes": codes.tobytes(), "norms": np.linalg.norm(books.decoded(codes), axis=1).tobytes()}
+        for q, i, score in zip(*additive._meet(books.books, block, {"q_n": len(asked), "q_ids": asked.tobytes(), "q_x": x[asked].tobytes()}, c.rerank, 5)):
+            found[int(q)].append((-score, int(i)))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    exact = unit[asked] @ unit.T
+    exact[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-exact, axis=1)[:, :5]
+    hits = [len({i for _, i in sorted(found[int(q)])[:5]} & set(t.tolist())) / 5 for q, t in zip(asked, true)]
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
 # ---------------------------------------------------------------- 9 URLs
 
 
