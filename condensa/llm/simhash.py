@@ -1,10 +1,12 @@
 """SimHash near-duplicates through an inverted index of positional bytes with count filtering.
 
-Two 64-bit fingerprints at 3 or fewer differing bits share at least 5 of their 8 bytes in place. The index has an
-entry for each choice of 5 places and the bytes there, so a pair that reaches this minimum of matches meets in at
-least one bucket, and no bucket can hold more than 2**24 distinct fingerprints. Within a bucket the bytes that a pair
-shares in place are tallied; pairs that reach the minimum are verified bit by bit. A bucket gives a forest of links,
-not all pairs of a group.
+Two 64-bit fingerprints at 3 or fewer differing bits share at least 5 of their 8 bytes in place, and so at least 4 of
+any 7. A posting list of a single byte would hold a 256th of all fingerprints, so the index has the lists of 4 bytes in
+place: an entry for each choice of 4 of the first 7 positions. For each pair that meets in a list the bytes that it
+shares in place are tallied over all 8 positions; pairs that reach the guaranteed minimum of 5 go on and are verified
+bit by bit. Long lists are divided by the bytes at further positions, of which such a pair must share some, and in the
+end by bits; lists that are too long for one task are dealt out anew by 5 bytes, so none holds more than 2**24. A list
+gives links that connect its pairs, not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
 their five-word shingles: texts meet by bands of minima of their shingle hashes, which a pair shares with a probability
@@ -72,88 +74,163 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     return lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
 
 
-def _masks(differing: int) -> list[int]:
-    """Of each choice of the bytes that must match, the mask of their bits."""
-    return [sum(0xFF << (8 * p) for p in places) for places in combinations(range(BYTES), BYTES - differing)]
+#: The index has lists of so many bytes in place, chosen from the positions that must hold so many shared bytes.
+LISTED = 4
+#: Of a list of more entries than this a task keeps none, but deals them out anew by all bytes that a pair must share.
+HEAVY = 200_000
+#: Lists of so many fingerprints are compared pair by pair for all lists of a batch together.
+SHORT = 8
+
+
+def _places(differing: int) -> list[tuple[int, ...]]:
+    """Positions of each kind of list: a pair that shares all but ``differing`` bytes shares those of one kind at least."""
+    listed = min(LISTED, BYTES - differing)
+    return list(combinations(range(differing + listed), listed))
+
+
+def _mask(places: tuple[int, ...]) -> int:
+    return sum(0xFF << (8 * p) for p in places)
+
+
+def tally(apart: np.ndarray) -> np.ndarray:
+    """Number of bytes that pairs share in place, from their differences."""
+    return (np.ascontiguousarray(apart).view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=-1, dtype=np.int8)
 
 
 def _near(apart: np.ndarray, differing: int) -> np.ndarray:
     """Count filter, then verification, of the differences of pairs: shared bytes are tallied, then bits counted."""
-    tally = (np.ascontiguousarray(apart).view(np.uint8).reshape(*apart.shape, BYTES) == 0).sum(axis=-1, dtype=np.int8)
-    kept = tally >= BYTES - differing
+    kept = tally(apart) >= BYTES - differing
     kept[kept] = np.bitwise_count(apart[kept]) <= differing
     return kept
 
 
-def _link(fps: np.ndarray, free: list[int], differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forest of the pairs at ``differing`` or fewer bits; ``free`` are the bits in which ``fps`` may differ."""
+def _link(fps: np.ndarray, shared: tuple[int, ...], differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forest of the pairs at ``differing`` or fewer bits of fingerprints with equal bytes at the positions ``shared``."""
+    if len(fps) <= LEAF:
+        yield from _forest_of(fps, differing)
+        return
+    rest = [p for p in range(BYTES) if p not in shared]
+    missing = BYTES - differing - len(shared)
+    if missing <= 0:
+        yield from _by_bits(fps, [8 * p + i for p in rest for i in range(8)], differing)
+        return
+    for p in rest[: len(rest) - missing + 1]:  # a pair that reaches the minimum shares one of these
+        for own in _equal((fps >> np.uint64(8 * p)) & np.uint64(0xFF)):
+            yield from _link(fps[own], (*shared, p), differing)
+
+
+def _equal(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each key that two or more have."""
+    order = np.argsort(key, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(own) > 1:
+            yield own
+
+
+def _by_bits(fps: np.ndarray, free: list[int], differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of fingerprints that may differ in the bits ``free`` only: of so many parts of them, one is equal in a near pair."""
     if len(fps) <= LEAF or len(free) <= differing:
-        near = _near(fps[:, None] ^ fps[None, :], differing)
-        root = near.argmax(axis=1)
-        while True:  # smallest reachable row, by neighbours
-            new = np.where(near, root[None, :], len(fps)).min(axis=1)
-            if (new == root).all():
-                break
-            root = new
-        at = np.flatnonzero(root != np.arange(len(fps)))
-        if len(at):
-            yield fps[at], fps[root[at]]
+        yield from _forest_of(fps, differing)
         return
     step = -(-len(free) // (differing + 1))
-    for i in range(0, len(free), step):  # of so many parts, one must be equal in a near pair
+    for i in range(0, len(free), step):
         part = free[i : i + step]
-        key = fps & np.uint64(sum(1 << x for x in part))
-        order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.diff(key[order])) + 1
-        for own in np.split(order, edges):
-            if len(own) > 1:
-                yield from _link(fps[own], [x for x in free if x not in part], differing)
+        for own in _equal(fps & np.uint64(sum(1 << x for x in part))):
+            yield from _by_bits(fps[own], [x for x in free if x not in part], differing)
+
+
+def _forest_of(fps: np.ndarray, differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    near = _near(fps[:, None] ^ fps[None, :], differing)
+    root = near.argmax(axis=1)
+    while True:  # smallest reachable row, by neighbours
+        new = np.where(near, root[None, :], len(fps)).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    at = np.flatnonzero(root != np.arange(len(fps)))
+    if len(at):
+        yield fps[at], fps[root[at]]
 
 
 def links(fps: DataFrame, differing: int = 3) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fps`` (fp) that connect all pairs at ``differing`` bits."""
-    masks = _masks(differing)
-    entries = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(_signed(m)) for m in masks])).alias("place", "bytes"))
+    kinds, whole = _places(differing), list(combinations(range(BYTES), BYTES - differing))
+    met = _met(fps.select("fp", _entries(F.col("fp"), kinds)), kinds, whole if LISTED < BYTES - differing else [], differing)
+    met = cut(met)
+    again = _met(met.where("place >= 0").select(F.col("u").alias("fp"), "place", "bytes").distinct(), whole, [], differing)
+    return met.where("place < 0").select("u", "v").union(again.select("u", "v")).distinct()
+
+
+def _entries(fp: Column, kinds: list[tuple[int, ...]]) -> Column:
+    return F.posexplode(F.array(*[fp.bitwiseAND(_signed(_mask(k))) for k in kinds])).alias("place", "bytes")
+
+
+def _met(entries: DataFrame, kinds: list[tuple[int, ...]], deeper: list[tuple[int, ...]], differing: int) -> DataFrame:
+    """(u, v, place, bytes): links of the lists of ``entries`` (fp, place, bytes), at place -1; then, of the fingerprints u of
+    heavy lists, the entries by the kinds ``deeper``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []  # of the list that the last batch ended in
+        heavy = None
         for b in batches:
-            place, part, fp = (np.ascontiguousarray(b.column(c).to_numpy()) for c in ("place", "bytes", "fp"))
-            new = np.flatnonzero((np.diff(place) != 0) | (np.diff(part) != 0)) + 1
-            if rest and len(place) and (place[0], part[0]) != last:
-                yield from found(place_of, np.concatenate(rest))
-                rest = []
-            if not len(place):
+            if not b.num_rows:
                 continue
-            starts = np.concatenate([[0], new])
-            ends = np.concatenate([new, [len(place)]])
-            # buckets that end in this batch and have one entry only give nothing
-            for s, e in zip(starts, ends, strict=True) if rest else _long(starts, ends, len(place)):
-                rest.append(fp[s:e])
-                if e < len(place):
-                    yield from found(place[s], np.concatenate(rest))
-                    rest = []
-                else:
-                    place_of = place[s]
-            last = (place[-1], part[-1])
-        if rest:
-            yield from found(place_of, np.concatenate(rest))
-
-    def found(place: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            place, part, fp = (np.ascontiguousarray(b.column(c).to_numpy()) for c in ("place", "bytes", "fp"))
+            if heavy is not None:
+                same = (place == heavy[0]) & (part == heavy[1])
+                n = len(same) if same.all() else int(same.argmin())
+                yield from anew(heavy[0], fp[:n])
+                place, part, fp = place[n:], part[n:], fp[n:]
+                if not len(fp):
+                    continue
+                heavy = None
+            if held and (held[0][0][0], held[0][1][0]) == (place[0], part[0]) == (place[-1], part[-1]):
+                held.append((place, part, fp))
+            else:
+                place, part, fp = (np.concatenate(x) for x in zip(*held, (place, part, fp), strict=True))
+                last = np.flatnonzero((place != place[-1]) | (part != part[-1]))
+                end = int(last[-1]) + 1 if len(last) else 0
+                held = [(place[end:], part[end:], fp[end:])]
+                yield from found(place[:end], part[:end], fp[:end])
+            if deeper and sum(len(x[2]) for x in held) > HEAVY:
+                heavy = (held[0][0][0], held[0][1][0])
+                for x in held:
+                    yield from anew(heavy[0], x[2])
+                held = []
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def anew(place: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = kinds[place]
+        for k, other in enumerate(deeper):
+            if len(fp) and set(own) <= set(other):
+                yield batch(fp, np.zeros(len(fp), np.int64), k, fp & np.array([_mask(other)], np.uint64).view(np.int64))
+
+    def batch(u: np.ndarray, v: np.ndarray, place: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), place, np.int32)), pa.array(part)], ["u", "v", "place", "bytes"])
+
+    def found(place: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links within whole lists."""
         if len(fp) < 2:
             return
-        own = np.uint64(masks[place])
-        free = [x for x in range(64) if not int(own) >> x & 1]
-        for u, v in _link(np.unique(fp.view(np.uint64)), free, differing):
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        fp = fp.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(part) != 0)]))
+        sizes = np.diff(np.append(starts, len(fp)))
+        rank, size = np.arange(len(fp)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+        out = []
+        for d in range(1, min(SHORT, int(sizes.max()))):  # pairs so many rows apart
+            at = np.flatnonzero((size <= SHORT) & (rank + d < size))
+            at = at[_near(fp[at] ^ fp[at + d], differing)]
+            out.append((fp[at + d], fp[at]))
+        for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+            out += _link(np.unique(fp[s : s + n]), kinds[place[s]], differing)
+        u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        keep = u != v
+        if keep.any():
+            yield batch(u[keep], v[keep], -1, np.zeros(int(keep.sum()), np.int64))
 
     dealt = entries.repartition("place", "bytes").sortWithinPartitions("place", "bytes")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
-
-
-def _long(starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    keep = (ends - starts > 1) | (ends == n)
-    return zip(starts[keep], ends[keep], strict=True)
+    return dealt.mapInArrow(run, "u long, v long, place int, bytes long")
 
 
 def _signed(x: int) -> Column:
@@ -166,13 +243,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
     # a hot fingerprint is counted before it is dealt out
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reached = components(links(classes.select("fp"), differing))
-    rooted = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # stored, so that the join may split the rows of one root
-    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), own.count())
-    of = rooted.join(least, "root").select("fp", "component_id")
+    rooted = _rooted(classes.select(F.col("fp").alias("node"), "least"), reached)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the joins may split the rows of one root, and of one fingerprint
+    of = cut(rooted.join(cut(least), "root").select(F.col("node").alias("fp"), "component_id"))
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, least, root) of each of ``classes`` (node, least): the root that it has ``reached`` (node, root), or itself.
+
+    Both have a row a node at most, so they are put together by an aggregate: no key is hot, whatever the groups are.
+    """
+    kind = classes.schema["least"].dataType
+    every = classes.select("node", "least", F.lit(None).cast("long").alias("root"), F.lit(True).alias("own"))
+    every = every.union(reached.select("node", F.lit(None).cast(kind), "root", F.lit(False)))
+    one = every.groupBy("node").agg(F.max_by("least", "own").alias("least"), F.coalesce(F.max("root"), F.col("node")).alias("root"))
+    return cut(one)
+
+
 #: Texts are similar from this Jaccard similarity of their shingles on, as a fraction.
 LEAST = (4, 5)
 #: A text has so many keys, each of so many minima of its shingles: a pair at 0.8 shares one in all but 3 of a million cases.
@@ -328,7 +417,8 @@ def missing_links(met: DataFrame, reached: DataFrame, sets: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
 
     texts = met.select("key", F.col("u").alias("node")).union(met.select("key", F.col("v").alias("node")).distinct())
-    texts = cut(texts.join(reached, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    # dealt out by its node, of which it has one row each: the stored links of few files would else be read file by file
+    texts = cut(texts.join(reached.repartition("node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     each = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("same"))
     again = each.where("n > 2 and lo <> hi").groupBy("same", "n").agg(F.min("key").alias("key")).select("key")
     dealt = texts.join(again, "key").join(sets, "node").repartition("key").sortWithinPartitions("key")
@@ -345,7 +435,7 @@ def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame,
     near = cut(verified(found.select("u", "v").distinct(), sets))
     more = cut(missing_links(found, components(near), sets))
     reached = components(near.union(more))
-    rooted = classes.select("node", "least").join(reached, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = _rooted(classes.select("node", "least"), reached)
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
     return own, rooted.select("node", "root"), first
 
