@@ -1,9 +1,11 @@
 """URL filters: fixed rules, and a tree of path templates for each host.
 
-Segments of a path that vary (numbers, digests, or a branch with many rare children) become wildcards. Each template
-gets the share of blocked among its labelled pages, smoothed towards the share of all. Sibling branches whose shares do
-not differ statistically are merged and judged together. Templates that are pure enough are rejected; one without any
-labelled page never is. All DataFrame code.
+Segments of a path that vary (numbers, digests, or a branch with many rare children) become wildcards. Then, from the
+leaves up, sibling branches are merged if they are statistically similar: what stands below them is distributed alike,
+and their shares of blocked pages, where they have labelled ones, do not differ by more than chance. So a branch
+without labelled pages takes part in what is known of siblings of its shape. A merged template gets the share of
+blocked among its labelled pages, smoothed towards the share of its host, which is smoothed towards that of all.
+Templates that are pure enough are rejected; one that has no labelled page after merging never is. All DataFrame code.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule and is allowed;
 repeated pages count as often as they occur. Other columns are not read.
@@ -29,9 +31,11 @@ class TreeConfig:
     #: A child is rare if it has less than this share of its parent; a branch with so many children gets a wildcard for them.
     rare: float = 0.02
     many: int = 20
-    #: Siblings within so many standard errors of their common share are merged.
+    #: A branch is similar to its labelled siblings if so much of the two distributions of what stands below is common.
+    similar: float = 0.5
+    #: Labelled siblings within so many standard errors of their common share are merged.
     errors: float = 2.0
-    #: Weight of the share of all labelled pages in a template's share, in pages.
+    #: Weight, in pages, of the share of a host in that of its templates, and of the share of all in that of a host.
     prior: float = 4.0
     reject: float = 0.8
 
@@ -56,7 +60,7 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> Column:
 def _segments(path: Column, depth: int) -> Column:
     """Segments as an array of ``depth`` strings, empty beyond the end; numbers and digests are wildcards already."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head, tail = F.slice(parts, 1, depth - 1), F.slice(parts, depth, 1_000_000)
+    head, tail = F.slice(parts, 1, depth - 1), F.slice(parts, F.lit(depth), F.greatest(F.size(parts), F.lit(1)))
     every = F.concat(head, F.when(F.size(tail) > 0, F.array(F.array_join(tail, "/"))).otherwise(F.array()))
 
     def lexical(s: Column) -> Column:
@@ -91,39 +95,72 @@ def templates(paths: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     return out
 
 
+def merged(leaves: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """``leaves`` (host, template, labelled, blocked, n) with ``group``: the template, merged branches as ``~``.
+
+    A branch is compared with all its labelled siblings together, so no pairs of branches are made.
+    """
+    c = config
+    out = cut(leaves.withColumn("group", F.col("template")))
+    for d in reversed(range(c.depth)):
+        at = ["host", "above"]
+        branch = out.where(F.size("group") > d).select("host", F.slice("group", 1, d).alias("above"), F.element_at("group", d + 1).alias("child"), F.slice("group", d + 2, c.depth).alias("below"), "n", "labelled", "blocked")
+        shapes = branch.groupBy(*at, "child", "below").agg(F.sum("n").alias("n"))
+        kinds = branch.groupBy(*at, "child").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")])
+        known = kinds.where("labelled > 0")
+        pooled = known.groupBy(*at).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("n").alias("all"))
+        usual = shapes.join(known.select(*at, "child"), [*at, "child"], "left_semi").groupBy(*at, "below").agg(F.sum("n").alias("usual"))
+        common = (
+            shapes.join(kinds.select(*at, "child", F.col("n").alias("own")), [*at, "child"]).join(pooled.select(*at, "all"), at).join(usual, [*at, "below"])
+            .groupBy(*at, "child").agg(F.sum(F.least(F.col("n") / F.col("own"), F.col("usual") / F.col("all"))).alias("common"))
+        )
+        share, own = F.col("b") / F.col("l"), F.col("blocked") / F.col("labelled")
+        error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.col("labelled"))
+        alike = (F.col("labelled") == 0) | (F.abs(own - share) <= c.errors * error)
+        like = kinds.join(pooled.drop("all"), at).join(common, [*at, "child"]).where((F.col("common") >= c.similar) & alike).select(*at, "child", F.lit(True).alias("like"))
+        keyed = out.select("*", F.slice("group", 1, d).alias("above"), F.try_element_at("group", F.lit(d + 1)).alias("child"))
+        group = F.concat(F.slice("group", 1, d), F.array(F.lit("~")), F.slice("group", d + 2, c.depth))
+        out = cut(keyed.join(like, [*at, "child"], "left").withColumn("group", F.when(F.col("like"), group).otherwise(F.col("group"))).select(*out.columns))
+    return out
+
+
 def judged(counted: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """(host, template, n, labelled, blocked, merged, purity, reject) from ``counted`` (host, template, n, labelled, blocked)."""
+    """(host, template, group, n, labelled, blocked, purity, reject) from ``counted`` (host, template, n, labelled, blocked).
+
+    ``labelled`` and ``blocked`` are those of the merged group.
+    """
     c = config
-    leaves = cut(counted.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]))
-    total = leaves.groupBy().agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).select(F.when(F.col("l") > 0, F.col("b") / F.col("l")).otherwise(0.0).alias("p"))
-    prior = total.first()[0]  # one number
-    above = F.slice("template", 1, F.greatest(F.lit(0), F.size("template") - 1))
-    leaves = leaves.withColumn("above", above)
-    siblings = leaves.where("labelled > 0").groupBy("host", "above").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    both = leaves.join(siblings, ["host", "above"], "left")
-    share = F.col("b") / F.col("l")
-    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.col("labelled"))
-    alike = (F.col("labelled") > 0) & (F.abs(F.col("blocked") / F.col("labelled") - share) <= c.errors * error)
-    both = both.withColumn("merged", F.coalesce(alike, F.lit(False)))
-    pooled = both.where("merged").groupBy("host", "above").agg(F.sum("labelled").alias("ml"), F.sum("blocked").alias("mb"))
-    both = both.join(pooled, ["host", "above"], "left")
-    labelled, blocked = (F.when(F.col("merged"), F.col(m)).otherwise(F.col(o)) for m, o in (("ml", "labelled"), ("mb", "blocked")))
-    purity = (blocked + c.prior * F.lit(prior)) / (labelled + c.prior)
-    return both.withColumn("purity", purity).select("host", "template", "n", "labelled", "blocked", "merged", "purity", ((labelled > 0) & (F.col("purity") >= c.reject)).alias("reject"))
+    leaves = merged(counted.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]), c)
+    sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b")]
+    total = leaves.groupBy().agg(*sums).select(F.when(F.col("l") > 0, F.col("b") / F.col("l")).otherwise(0.0)).first()[0]  # one number
+    hosts = leaves.groupBy("host").agg(*sums).select("host", ((F.col("b") + c.prior * F.lit(total)) / (F.col("l") + c.prior)).alias("prior"))
+    groups = leaves.groupBy("host", "group").agg(*sums).join(hosts, "host")
+    purity = (F.col("b") + c.prior * F.col("prior")) / (F.col("l") + c.prior)
+    groups = groups.select("host", "group", F.col("l").alias("labelled"), F.col("b").alias("blocked"), purity.alias("purity"), ((F.col("l") > 0) & (purity >= c.reject)).alias("reject"))
+    return leaves.select("host", "template", "group", "n").join(groups, ["host", "group"])
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page; pages with a rule are the labelled ones."""
+    """page_id, host, path, rule, verdict and by of every page; pages with a rule are the labelled ones.
+
+    ``by`` says what gave the verdict: rule, tree, or none (nothing speaks against the page).
+    """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     distinct = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    ruled = distinct.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    labelled = ruled.select("host", "path", "n", F.when(F.col("r").isNotNull(), F.col("n")).otherwise(0).alias("labelled"), F.when(F.col("r.verdict") == "block", F.col("n")).otherwise(0).alias("blocked"))
-    tree = templates(labelled, config)
+    tree = templates(labelled(distinct, rules), config)
     bad = judged(tree, config).where("reject").select("host", "template")
     # only the paths that the tree rejects and no rule settles meet the pages again
     rejected = tree.where("labelled = 0").join(bad, ["host", "template"], "left_semi").select("host", "path", F.lit(True).alias("rejected"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
     out = rows.join(rejected, ["host", "path"], "left").withColumn("r", rule)
     verdict = F.coalesce("r.verdict", F.when(F.col("rejected"), "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
+    by = F.when(F.col("r").isNotNull(), "rule").when(F.col("rejected"), "tree").otherwise("none")
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), by.alias("by"))
+
+
+def labelled(paths: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """``paths`` (host, path, n) with the numbers of pages that a rule settles, and that it blocks."""
+    ruled = paths.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    count = lambda when: F.when(when, F.col("n")).otherwise(0)
+    return ruled.select("host", "path", "n", count(F.col("r").isNotNull()).alias("labelled"), count(F.col("r.verdict") == "block").alias("blocked"))
