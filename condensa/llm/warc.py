@@ -2,13 +2,14 @@
 
 A capture is a response (or a revisit of an equal payload), a request and a metadata record; the latter two name the
 first by WARC-Concurrent-To. Archives are written with Spark's text sink, whose line separator is the end of a record,
-so that any store and any lost task is as safe as for other tables. They are read as whole files of bounded size, by
-Content-Length.
+so that any store and any lost task is as safe as for other tables. Pages are written by classes of their size, each
+with as many pages in a file as make some 32 MB at most, and a page beyond 2 MB alone. Archives are read once, as whole
+files, by Content-Length.
 
 Defined results: a null html is an empty payload; pages whose id is null are written and come back with a null id, and
 are never the original of another page if one has an id; rows that repeat the smallest id of a payload are responses
 too; records that name no capture, or a missing one, give no row; of several requests or metadata records of a capture
-the one with the smallest record id counts. Other columns are not read.
+the one with the smallest record id counts, and of several captures of one id the least one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads of fewer bytes are stored each time.
 LEAST_REVISIT = 100
 LAST = 2**63 - 1
+#: Payloads of fewer bytes than the first number go into files of so many pages; larger ones are alone in theirs.
+CLASSES = ((1 << 16, 500), (1 << 21, 16))
 
 
 def _record_id(kind: str, row: Column) -> Column:
@@ -46,8 +49,8 @@ def _safe(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 6000) -> None:
-    """Write the transactions of ``pages`` (page_id, url, html) as compressed WARC files."""
+def write_archives(pages: DataFrame, path: str) -> None:
+    """Write the transactions of ``pages`` (page_id, url, html) as compressed WARC files in folders below ``path``."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", _safe(F.col("url")).alias("url"), body.alias("html"))
     rows = rows.withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("html", 256), "size": F.octet_length("html")})
@@ -74,14 +77,17 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 6000) ->
     request = _headers(("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", F.col("row"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request"), ("Content-Length", length(asked)))
     metadata = _headers(("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", F.col("row"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields"), ("Content-Length", length(fields)))
     records = F.array(*[F.concat(h, F.lit(END), b) for h, b in ((capture, block), (request, asked), (metadata, fields))])
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    least = 0
+    for most, many in (*CLASSES, (LAST, 1)):
+        own = rows.where((F.col("size") >= least) & (F.col("size") < most)).select(F.explode(records).alias("value"))
+        own.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * many).text(f"{path}/from-{least}")
+        least = most
 
 
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
-def _parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def _parsed(raw: bytes | bytearray) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers, with lower-cased names, and block of each record."""
     at = 0
     while (end := raw.find(b"\r\n\r\n", at)) >= 0:
@@ -90,7 +96,7 @@ def _parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("a record does not begin where the last one ended")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(headers["content-length"])
-        yield headers, raw[end + 4 : end + 4 + size]
+        yield headers, bytes(raw[end + 4 : end + 4 + size])
         at = end + 4 + size + 4
 
 
@@ -114,9 +120,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     whole += data.decompress(raw)
                     raw = data.unused_data
                     data = zlib.decompressobj(47)
-                yield from records(bytes(whole))
+                yield from records(whole)
 
-    def records(raw: bytes) -> Iterator[pa.RecordBatch]:
+    def records(raw: bytearray) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for headers, block in _parsed(raw):
@@ -149,26 +155,27 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         columns[7] = fields
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata (structs), n_requests, n_metadata.
 
-    Records meet by the id of the capture that they belong to. What is kept of a capture is a bounded aggregate, so a
-    capture that very many records name does not gather them in one place.
+    Records meet by the id of the capture that they belong to, and the archives are read once. What is kept of a capture
+    is a bounded aggregate, so a capture that very many records name does not gather them in one place.
     """
-    whole = F.struct("record_id", "type", "uri", "refers_to", "digest", "payload_bytes", "fields", "payload")
-    captures = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), whole.alias("response"))
+    capture = F.col("type").isin("response", "revisit")
+    kinds = {"response": capture, "request": F.col("type") == "request", "metadata": F.col("type") == "metadata"}
     small = F.struct("record_id", "uri", F.map_entries("fields").alias("fields"))
-    others = records.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("capture_id"), "type", small.alias("s"))
-    pick = lambda t: F.min(F.when(F.col("type") == t, F.col("s")))
-    others = others.groupBy("capture_id").agg(
-        pick("request").alias("request"), pick("metadata").alias("metadata"), F.count_if(F.col("type") == "request").alias("n_requests"), F.count_if(F.col("type") == "metadata").alias("n_metadata")
+    whole = F.struct("record_id", "type", "uri", "refers_to", "digest", "payload_bytes", F.map_entries("fields").alias("fields"), "payload")
+    rows = records.select(F.when(capture, F.col("record_id")).when(kinds["request"] | kinds["metadata"], F.col("concurrent_to")).alias("capture_id"), "type", small.alias("small"), F.when(capture, whole).alias("whole"))
+    pick = lambda t: F.min(F.when(kinds[t], F.col("whole" if t == "response" else "small"))).alias(t)
+    one = rows.where("capture_id is not null").groupBy("capture_id").agg(
+        *[pick(t) for t in kinds], F.count_if(kinds["request"]).alias("n_requests"), F.count_if(kinds["metadata"]).alias("n_metadata")
     )
-    opened = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.record_id").alias("record_id"), F.col(f"{c}.uri").alias("uri"), F.map_from_entries(f"{c}.fields").alias("fields"))).alias(c)
-    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return captures.join(others, "capture_id", "left").select("capture_id", "response", opened("request"), opened("metadata"), none("n_requests"), none("n_metadata"))
+    opened = lambda c, names: F.when(F.col(c).isNotNull(), F.struct(*[F.map_from_entries(f"{c}.fields").alias(n) if n == "fields" else F.col(f"{c}.{n}").alias(n) for n in names])).alias(c)
+    of = {"response": ("record_id", "type", "uri", "refers_to", "digest", "payload_bytes", "fields", "payload")}
+    return one.where("response is not null").select("capture_id", *[opened(c, of.get(c, ("record_id", "uri", "fields"))) for c in kinds], "n_requests", "n_metadata")
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:
