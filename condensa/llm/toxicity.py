@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, lean, mix
+from condensa.llm.common import WordHashes, alnum_words, as_bytes, chunks, cut, lean, mix
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,10 @@ class FtrlConfig:
     l2: float = 1.0
     #: How often the sample is streamed past the learner.
     epochs: int = 2
-    #: The classifier is fitted on this many labelled rows at most (those of smallest hash of the id).
+    #: The classifier is fitted on this many labelled rows at most (those of smallest hash of the id),
     max_train_rows: int = 16_384
+    #: and of them on those whose buckets, four bytes each, take so many bytes together at most.
+    max_train_bytes: int = 128_000_000
 
 
 def buckets(words: list[bytes], hashes: WordHashes, bits: int) -> np.ndarray:
@@ -69,7 +71,8 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); returns buckets, weights and bias.
 
-    Features are made where the texts are; one task then streams over the bounded sample and holds only the state.
+    Features are made where the texts are; one task then holds the state and the buckets of the sample, both of bounded
+    size, and streams over them once for each epoch.
     """
     c = config
     sample = (
@@ -89,21 +92,24 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Ftrl(c), 0
+        model, rows = Ftrl(c), []
         for b in batches:
-            for label, at in zip(b.column("toxic").to_pylist(), b.column("at").to_pylist(), strict=True):
-                model.learn(np.frombuffer(at, np.int32).astype(np.int64), int(label > 0))
-                seen += 1
-        if seen:
+            rows += [(int(label > 0), np.frombuffer(at, np.int32)) for label, at in zip(b.column("toxic").to_pylist(), b.column("at").to_pylist(), strict=True)]
+        for _ in range(c.epochs):
+            for label, at in rows:
+                model.learn(at.astype(np.int64), label)
+        if rows:
             w = model.weights(np.arange(len(model.z)))
             keep = np.flatnonzero(w)
             keep = np.union1d(keep, [len(w) - 1])
             yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(w[keep])], ["at", "w"])
 
     # one task sees the rows in a fixed order, so that the model does not depend on the layout of the input
-    made = lean(texts).select("h", "toxic", "text").mapInArrow(features, "h long, toxic int, at binary")
-    made = made.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(c.epochs))))
-    model = made.repartition(1).sortWithinPartitions("epoch", "h", "at").mapInArrow(learn, "at long, w double").toPandas()
+    made = cut(lean(texts).select("h", "toxic", "text").mapInArrow(features, "h long, toxic int, at binary"))
+    sizes = made.groupBy("h").agg(F.sum(F.octet_length("at") + 16).alias("size"))  # max_train_rows rows at most
+    upto = sizes.select("h", F.sum("size").over(Window.orderBy("h")).alias("upto")).where(F.col("upto") <= c.max_train_bytes).agg(F.max("h")).first()[0]
+    own = made.where(F.col("h") <= (F.lit(None).cast("long") if upto is None else F.lit(upto)))
+    model = own.repartition(1).sortWithinPartitions("h", "at").mapInArrow(learn, "at long, w double").toPandas()
     if model.empty:
         return np.zeros(0, np.int64), np.zeros(0), math.log(0.1 / 0.9)
     at, w = model["at"].to_numpy(), model["w"].to_numpy()
