@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from condensa.llm.common import alnum_words, as_bytes, chunks, lean, scratch
 
 SEGMENT_BYTES = 4_000_000
-#: Test items are broadcast in blocks of about so many bytes of text, whatever the size of the benchmark.
-BLOCK_BYTES = 16_000_000
+#: Test items are broadcast in blocks of about so many windows, whatever the size of the benchmark: some 50 MB of
+#: Python objects. Longer items go on in the next block, with a window's overlap.
+BLOCK_WINDOWS = 200_000
 INDEX = "segment string, doc_ids array<{ids}>, doc_starts binary, terms binary, term_starts binary, positions binary"
 
 
@@ -154,16 +155,18 @@ class Segment:
         return (first[ok], last[ok]) if ok.any() else None
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """Items (item_id as string, text) in blocks of bounded size; one block is on the driver at a time."""
+def _blocks(items: DataFrame, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items (item_id as string, words) in blocks of bounded size; one block is on the driver at a time."""
     block, size = [], 0
     for r in items.toLocalIterator():
-        raw = (r[1] or "").encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((r[0], raw))
-        size += len(raw)
+        words = alnum_words((r[1] or "").encode())
+        for s in range(0, max(1, len(words) - window + 1), BLOCK_WINDOWS):
+            piece = words[s : s + BLOCK_WINDOWS + window - 1]
+            if block and size + len(piece) > BLOCK_WINDOWS + window - 1:
+                yield block
+                block, size = [], 0
+            block.append((r[0], b" ".join(piece)))
+            size += len(piece)
     yield block
 
 
@@ -176,7 +179,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0)
     named = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     out = None
     many = 0
-    for block in _blocks(named):
+    for block in _blocks(named, window):
         part = _search_block(index, Phrases(block, window), slop, ids)
         out = part if out is None else out.unionByName(part)
         many += 1
