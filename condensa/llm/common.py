@@ -48,24 +48,33 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_PER_FILE = 250_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, few: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    With ``rows``, the most rows that ``df`` can have, a small result is not written as a file for each partition.
+    With ``rows``, the most rows that ``df`` can have, a small result is not written as a file for each partition. With
+    ``few``, for results that are small against what they are made from, it is dealt out to a sixteenth of the partitions.
     """
     shared_dir(df.sparkSession)
+    if few:
+        df = df.repartition(-(-shuffle_partitions(df.sparkSession) // 16))
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
 
 
+#: Rows of a batch, between Spark and Python and of the Parquet reader. Those of the defaults take tens of megabytes of
+#: texts, several times over, in each worker and executor.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
 def lean(df: DataFrame) -> DataFrame:
-    """``df``, after asking for smaller batches of rows between Spark and Python than the default.
+    """``df``, after setting ``BATCHES`` in its session, but for what the session or its start has set itself.
 
-    Texts of a default batch take tens of megabytes, several times over, in each worker. A session that set a number of
-    its own keeps it.
+    This outlives the query: plans are made when a result is asked for, so the settings have to hold then.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, "2000")
+    spark = df.sparkSession
+    own, started = spark._jsparkSession.sessionState().conf().settings(), spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not own.containsKey(key) and not started.contains(key):
+            spark.conf.set(key, value)
     return df
 
 

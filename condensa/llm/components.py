@@ -20,17 +20,17 @@ def _star(edges: DataFrame, rows: int) -> DataFrame:
     return small.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge in ``edges`` (u, v): root is the smallest node it can reach.
 
     Null ends and loops are no edges; repeated edges count once; no edges give no rows. Each round ends in a
     checkpoint, so that a lost executor costs one round at most. A count and a sum tell whether a round changed
     anything; nothing else goes to the driver.
     """
-    edges = cut(edges.select("u", "v").where("u <> v").distinct())  # else each use would find the links anew
+    edges = cut(edges.select("u", "v").where("u <> v").distinct(), few=True)  # else each use would find the links anew
     before = None
     rows = edges.count()
-    for _ in range(most_rounds):
+    while True:  # each round that changes anything brings some node nearer to its root
         edges = cut(_star(edges, rows), 2 * rows)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -38,4 +38,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before, rows = now, now[0]
-    raise RuntimeError("components did not settle")

@@ -156,7 +156,7 @@ def links(fps: DataFrame, differing: int = 3) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fps`` (fp) that connect all pairs at ``differing`` bits."""
     kinds, whole = _places(differing), list(combinations(range(BYTES), BYTES - differing))
     met = _met(fps.select("fp", _entries(F.col("fp"), kinds)), kinds, whole if LISTED < BYTES - differing else [], differing)
-    met = cut(met)
+    met = cut(met, few=True)
     again = _met(met.where("place >= 0").select(F.col("u").alias("fp"), "place", "bytes").distinct(), whole, [], differing)
     return met.where("place < 0").select("u", "v").union(again.select("u", "v")).distinct()
 
@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, differing: int = 3)
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reached = components(links(classes.select("fp"), differing))
     rooted = _rooted(classes.select(F.col("fp").alias("node"), "least"), reached)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # stored, so that the joins may split the rows of one root, and of one fingerprint
-    of = cut(rooted.join(cut(least), "root").select(F.col("node").alias("fp"), "component_id"))
+    # stored, so that the join may split the rows of one root
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), own.count())
+    of = rooted.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -258,8 +258,7 @@ def _rooted(classes: DataFrame, reached: DataFrame) -> DataFrame:
     kind = classes.schema["least"].dataType
     every = classes.select("node", "least", F.lit(None).cast("long").alias("root"), F.lit(True).alias("own"))
     every = every.union(reached.select("node", F.lit(None).cast(kind), "root", F.lit(False)))
-    one = every.groupBy("node").agg(F.max_by("least", "own").alias("least"), F.coalesce(F.max("root"), F.col("node")).alias("root"))
-    return cut(one)
+    return every.groupBy("node").agg(F.max_by("least", "own").alias("least"), F.coalesce(F.max("root"), F.col("node")).alias("root"))
 
 
 #: Texts are similar from this Jaccard similarity of their shingles on, as a fraction.
@@ -432,8 +431,8 @@ def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame,
     found = cut(similar_links(classes))
     met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))
-    near = cut(verified(found.select("u", "v").distinct(), sets))
-    more = cut(missing_links(found, components(near), sets))
+    near = cut(verified(found.select("u", "v").distinct(), sets), few=True)
+    more = cut(missing_links(found, components(near), sets), few=True)
     reached = components(near.union(more))
     rooted = _rooted(classes.select("node", "least"), reached)
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
