@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from condensa.kernels.block import Outcome, shrink_block
 from condensa.plans.compress import compress_blocks, compress_requests, publish
-from condensa.sources.stash import Stash
+from condensa.sources.stash import SCHEME, Stash
 
 
 @dataclass
@@ -19,18 +19,20 @@ class Condenser:
 
     spark: SparkSession
     stash: Stash
+    #: Lines that are left out are named by the entry of the stash that holds them.
+    hints: bool = True
 
     @classmethod
-    def create(cls, spark: SparkSession, stash_dir: str | None = None) -> Condenser:
-        return cls(spark, Stash(spark, stash_dir))
+    def create(cls, spark: SparkSession, stash_dir: str | None = None, hints: bool = True) -> Condenser:
+        return cls(spark, Stash(spark, stash_dir), hints)
 
     def text(self, text: str, query: str | None = None, source_path: str | None = None) -> dict:
         row = self.spark.createDataFrame([(text, query, source_path)], "text string, query string, source_path string")
-        return publish(compress_blocks(row), self.stash).first().asDict()
+        return publish(compress_blocks(row, SCHEME if self.hints else None), self.stash).first().asDict()
 
     def request(self, body: str, query: str | None = None) -> tuple[str, dict]:
         row = self.spark.createDataFrame([("1", body, query)], "request_id string, body string, query string")
-        out, counts = compress_requests(row, self.stash)
+        out, counts = compress_requests(row, self.stash, hints=self.hints)
         found = counts.first()
         return out.first()["body"], found.asDict() if found else {"changed": False}
 
@@ -38,7 +40,8 @@ class Condenser:
         return self.stash.retrieve(key)
 
     def retrieve_lines(self, key: str, start: int, count: int):
-        row = self.stash.get_lines(self.spark.createDataFrame([(key,)], "key string"), start, count).first()
+        """Lines of an entry, by its key or by the name that a line hint gives."""
+        row = self.stash.get_lines(self.spark.createDataFrame([(self.stash.key_of(key),)], "key string"), start, count).first()
         return row["slice"]
 
 

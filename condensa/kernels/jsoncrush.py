@@ -331,23 +331,30 @@ def error_rows(rows: list) -> set[int]:
     return {i for i, r in enumerate(rows) if isinstance(r, dict) and _ERROR.search(dumps(r).lower())}
 
 
+#: How a null is counted among the values of a field: fixed value.
+NONE_VALUE = "__none__"
+
+
 def rare_status_rows(rows: list[dict], config: CrushConfig = CRUSH) -> set[int]:
-    """Rows with a value beyond the few that cover most rows, in fields that most rows have."""
+    """Rows with a value beyond the few that cover most rows, in fields that most rows have.
+
+    A null is a value like others, but for the number of values that a field may have.
+    """
     n, out = len(rows), set()
     for name, f in frequencies(rows).items():
         if f < config.rare_cover * n:
             continue
-        values = {i: shown(r[name]) for i, r in enumerate(rows) if name in r and not isinstance(r[name], (dict, list))}
-        counts = Counter(values.values())
-        if not 2 <= len(counts) <= config.rare_most_values:
+        values = {i: NONE_VALUE if r[name] is None else shown(r[name]) for i, r in enumerate(rows) if name in r}
+        if not 2 <= len({shown(r[name]) for r in rows if r.get(name) is not None}) <= config.rare_most_values:
             continue
-        need, top = math.ceil(config.rare_cover * sum(counts.values())), set()
+        counts = Counter(values.values())
+        need, top = math.ceil(config.rare_cover * len(values)), set()
         for v, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
             if need <= 0:
                 break
             top.add(v)
             need -= c
-        if len(top) <= config.rare_top and len(top) < len(counts):
+        if len(top) <= config.rare_top:
             out |= {i for i, v in values.items() if v not in top}
     return out
 

@@ -10,9 +10,8 @@ HTML_NAMES = frozenset(
     """a abbr address area article aside audio b base bdi bdo blockquote body br button canvas caption cite code col colgroup
     data datalist dd del details dfn dialog div dl dt em embed fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head
     header hgroup hr html i iframe img input ins kbd label legend li link main map mark menu meta meter nav noscript object ol
-    optgroup option output p param picture pre progress q rp rt ruby s samp script search section select slot small source span
-    strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video wbr math
-    center font frame frameset""".split()
+    optgroup option output p param picture portal pre progress q rp rt ruby s samp script search section select slot small source span
+    strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video wbr math""".split()
 )
 TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*)((?:\s+(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?)(/?)>")
 

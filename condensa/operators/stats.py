@@ -31,15 +31,20 @@ def value_counts(df: DataFrame, by: list[str] | str, field: str) -> DataFrame:
 
 
 def rare_values(df: DataFrame, by: list[str] | str, field: str) -> DataFrame:
-    """Values beyond the few that cover most rows, of fields with 2 to 50 values: by group, value and n."""
+    """Values beyond the few that cover most rows, of fields with 2 to 50 values: by group, value and n.
+
+    Nulls are counted as the value ``__none__``, but not among the 2 to 50. Values are counted before they are ranked,
+    so what meets in one place is the few values of a field, not those of an id.
+    """
     keys = _by(by)
-    counts = value_counts(df, keys, field)
+    value = F.coalesce(F.col(field).cast("string"), F.lit("__none__"))
+    counts = df.groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count(field).alias("own"))
+    sizes = counts.groupBy(*keys).agg(F.count_if(F.col("own") > 0).alias("kinds"), F.sum("n").alias("rows")).where(F.col("kinds").between(2, CRUSH.rare_most_values))
     w = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("n").over(w.orderBy(F.desc("n"), "value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    top = before < F.ceil(F.lit(CRUSH.rare_cover) * F.sum("n").over(w))
-    marked = counts.select(*keys, "value", "n", top.alias("top"), F.count(F.lit(1)).over(w).alias("kinds"))
+    marked = counts.join(sizes, keys).select(*keys, "value", "n", (before < F.ceil(F.lit(CRUSH.rare_cover) * F.col("rows"))).alias("top"))
     marked = marked.withColumn("k", F.sum(F.col("top").cast("int")).over(w))
-    return marked.where(F.col("kinds").between(2, CRUSH.rare_most_values) & (F.col("k") <= CRUSH.rare_top) & ~F.col("top")).select(*keys, "value", "n")
+    return marked.where((F.col("k") <= CRUSH.rare_top) & ~F.col("top")).select(*keys, "value", "n")
 
 
 def rare_fields(df: DataFrame, by: list[str] | str, keys: Column) -> DataFrame:
@@ -117,10 +122,9 @@ def histogram(df: DataFrame, by: list[str] | str, field: str, most: int = 10) ->
     keys = _by(by)
     counts = value_counts(df, keys, field)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy(*keys)
-    marked = counts.withColumns({"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w)}).join(sizes, keys)
+    few = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(sizes, keys).where((F.col("kinds") <= most) & (F.col("total") == F.col("rows")))
     share = F.concat(F.col("n").cast("string"), F.lit("/"), F.col("total").cast("string"))
-    return marked.where((F.col("kinds") <= most) & (F.col("total") == F.col("rows"))).select(*keys, "value", share.alias("share"))
+    return counts.join(few, keys).select(*keys, "value", share.alias("share"))
 
 
 def budget(n: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from condensa.functions.core import has_marker, over_gate
 from condensa.sources.requests import candidates, rebuild
-from condensa.sources.stash import Stash
+from condensa.sources.stash import SCHEME, Stash
 
 RESULT = T.StructType(
     [
@@ -42,7 +42,8 @@ def compress_blocks(blocks: DataFrame, stash_dir: str | None = None) -> DataFram
     """``blocks`` (text; query and source_path if there are such columns) with the struct ``result``.
 
     Blocks that are short, or hold a marker already, never reach Python: they are told apart by built-in functions, and
-    their result is null.
+    their result is null. ``stash_dir``: line hints name lines left out by a file there and the key of the block;
+    ``condensa.sources.stash.SCHEME`` for names that ``Stash.retrieve`` reads.
     """
     has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
     fit = F.coalesce(over_gate("text") & ~has_marker("text"), F.lit(False))
@@ -72,8 +73,9 @@ def publish(compressed: DataFrame, stash: Stash, now: Column | None = None) -> D
     except Exception:  # noqa: BLE001  (any failure of the store means that nothing lossy may be published)
         stored = rows.sparkSession.createDataFrame([], "key string")
     else:
-        stored = stash.live(now).select("key")
+        stored = None
     needed = rows.where("result.status = 'lossy'").select(F.explode("result.stash.key").alias("key")).distinct()
+    stored = stash.has(needed, now) if stored is None else stored
     missing = needed.join(stored, "key", "left_anti").select("key", F.lit(True).alias("missing"))
     # a block depends on several keys only if markers stand within its text
     blocked = (
@@ -90,12 +92,15 @@ def publish(compressed: DataFrame, stash: Stash, now: Column | None = None) -> D
     )
 
 
-def compress_requests(requests: DataFrame, stash: Stash, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(requests with their blocks shrunk, counters by request). Messages are never dropped, the frozen prefix stays."""
+def compress_requests(requests: DataFrame, stash: Stash, now: Column | None = None, hints: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(requests with their blocks shrunk, counters by request). Messages are never dropped, the frozen prefix stays.
+
+    ``hints``: lines that are left out are named by the entry of the stash that holds them.
+    """
     blocks = candidates(requests)
     if "query" in requests.columns:
         blocks = blocks.join(requests.select("request_id", "query"), "request_id")
-    done = publish(compress_blocks(blocks), stash, now)
+    done = publish(compress_blocks(blocks, SCHEME if hints else None), stash, now)
     changed = done.where(F.col("status").isin("lossless", "lossy")).select("request_id", "msg_idx", "part_idx", "field", F.col("output").alias("text"))
     return rebuild(requests, changed), counters(done, "request_id")
 

@@ -1,4 +1,8 @@
-"""The stash: originals of lossy blocks in a table (key, content, stored_at), found by the hash of their content."""
+"""The stash: originals of lossy blocks in a table (key, content, stored_at), found by the hash of their content.
+
+Entries lie in folders by the time from which all of them have expired. So expired ones go by whole folders, nothing
+that is live is ever rewritten, and a job that fails at any step leaves every live entry where it is.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,10 @@ from condensa.config import STASH
 from condensa.functions.core import line_slice, valid_key
 
 SCHEMA = "key string, content string, stored_at timestamp"
+#: A line hint names an entry of the stash by this, a slash and its key.
+SCHEME = "stash:"
+#: The column by which the folders are named: seconds since 1970 from which the entries there have expired.
+UNTIL = "expired_from"
 
 
 def stash_dir() -> str:
@@ -22,26 +30,53 @@ class Stash:
     """A folder of Parquet files, any store that Spark writes. Entries of equal key have equal content."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, ttl_seconds: int = STASH.ttl_seconds):
-        self.spark, self.path, self.ttl = spark, path or stash_dir(), ttl_seconds
+        self.spark, self.path, self.ttl = spark, (path or stash_dir()).rstrip("/"), ttl_seconds
+        #: Expired entries stay on disk for so long at most.
+        self.slot = max(1, ttl_seconds // 6)
+
+    def _place(self):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        place, fs = self._place()
+        return fs.exists(place)
+
+    def _stored(self) -> DataFrame:
+        schema = f"{SCHEMA}, {UNTIL} bigint"
+        return self.spark.read.schema(schema).parquet(self.path) if self.exists() else self.spark.createDataFrame([], schema)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path) if self.exists() else self.spark.createDataFrame([], SCHEMA)
+        return self._stored().drop(UNTIL)
+
+    def _now(self, now: Column | None) -> Column:
+        return now if now is not None else F.current_timestamp()
+
+    def _fresh(self, now: Column | None, seconds: int) -> DataFrame:
+        """Entries of the last ``seconds``; folders that are older than the time to live are not listed."""
+        cutoff = self._now(now) - F.make_interval(secs=F.lit(seconds))
+        return self._stored().where((F.col(UNTIL) > F.unix_seconds(self._now(now))) & (F.col("stored_at") >= cutoff))
 
     def put(self, rows: DataFrame, now: Column | None = None) -> None:
-        """Store (key, content) rows; returns when they are durable. Keys of a wrong form are an error."""
+        """Store (key, content) rows; returns when they are durable. Keys of a wrong form are an error.
+
+        What was stored within the first half of the time to live is not stored again, so that a replayed batch adds
+        nothing.
+        """
         rows = rows.where(F.assert_true(valid_key("key"), F.lit("a stash key has 24 hex digits")).isNull())
-        rows = rows.select("key", "content").dropDuplicates(["key"]).withColumn("stored_at", now if now is not None else F.current_timestamp())
-        rows.write.mode("append").parquet(self.path)
+        rows = rows.select("key", "content").dropDuplicates(["key"]).join(self._fresh(now, self.ttl // 2).select("key"), "key", "left_anti")
+        rows = rows.withColumn("stored_at", self._now(now).cast("timestamp"))
+        # the slot ends after the entry was stored; its entries have expired a time to live later
+        until = (F.floor(F.unix_seconds("stored_at") / self.slot) + 1) * self.slot + self.ttl
+        rows.withColumn(UNTIL, until.cast("bigint")).write.mode("append").partitionBy(UNTIL).parquet(self.path)
+
+    def has(self, keys: DataFrame, now: Column | None = None) -> DataFrame:
+        """The ``keys`` (key) that are stored and live; no content is read."""
+        return keys.join(self._fresh(now, self.ttl).select("key"), "key", "left_semi")
 
     def live(self, now: Column | None = None) -> DataFrame:
         """(key, content, stored_at) of the entries that have not expired, the newest of each key."""
-        cutoff = (now if now is not None else F.current_timestamp()) - F.make_interval(secs=F.lit(self.ttl))
-        rows = self.table().where(F.col("stored_at") >= cutoff)
+        rows = self._fresh(now, self.ttl)
         return rows.groupBy("key").agg(F.max(F.struct("stored_at", "content")).alias("e")).select("key", "e.content", "e.stored_at")
 
     def get(self, keys: DataFrame, now: Column | None = None) -> DataFrame:
@@ -53,24 +88,25 @@ class Stash:
         return self.get(keys, now).withColumn("slice", line_slice("content", start, count)).drop("content")
 
     def retrieve(self, key: str, now: Column | None = None) -> str | None:
-        row = self.get(self.spark.createDataFrame([(key,)], "key string"), now).first()
+        """Content of a key, or of what a line hint names as its file."""
+        row = self.get(self.spark.createDataFrame([(self.key_of(key),)], "key string"), now).first()
         return row and row["content"]
 
     def purge_expired(self, now: Column | None = None) -> int:
-        """Delete what has expired; returns how many entries that were. The new table is written before the old one goes."""
+        """Delete the folders of which all entries have expired; returns how many entries that were."""
         if not self.exists():
             return 0
-        cutoff = (now if now is not None else F.current_timestamp()) - F.make_interval(secs=F.lit(self.ttl))
-        every = self.table()
-        gone = every.where(F.col("stored_at") < cutoff).count()
-        if gone:
-            jvm = self.spark.sparkContext._jvm
-            old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path, f"{self.path.rstrip('/')}.new"))
-            fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            every.where(F.col("stored_at") >= cutoff).write.mode("overwrite").parquet(new.toString())
-            fs.delete(old, True)
-            fs.rename(new, old)
-        return gone
-
-    def file_path(self, key: str) -> str:
-        return f"{self.path.rstrip('/')}/{key}"
+        old = self._stored().where(F.col(UNTIL) <= F.unix_seconds(self._now(now))).groupBy(UNTIL).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a slot
+        place, fs = self._place()
+        for row in old:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, f"{UNTIL}={row[UNTIL]}"), True)
+        return sum(row["n"] for row in old)
+
+    @staticmethod
+    def file_path(key: str) -> str:
+        """What line hints name as the file of an entry; ``retrieve`` and ``Condenser.retrieve_lines`` read it."""
+        return f"{SCHEME}/{key}"
+
+    @staticmethod
+    def key_of(name: str) -> str:
+        return name.removeprefix(f"{SCHEME}/")

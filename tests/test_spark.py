@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from inputs_made import SIZES
+from inputs_made import SIZES, hits
 from pyspark.sql import functions as F
 
 from condensa import api
@@ -144,6 +144,7 @@ def test_publish_and_retrieve(spark, texts, tmp_path):
     later = F.current_timestamp() + F.expr("interval 2 hours")
     key = next(r.stash_key for r in out if r.stash_key)
     assert stash.retrieve(key, later) is None and stash.purge_expired(later) >= 1 and stash.retrieve(key) is None
+    assert stash.purge_expired(later) == 0
 
 
 def test_a_broken_stash_changes_nothing_lossy(spark, texts, tmp_path):
@@ -163,6 +164,73 @@ def test_a_forgetful_stash_changes_nothing_lossy(spark, texts, tmp_path):
     assert not {r.status for r in publish(compress_blocks(texts), Forgets(spark, str(tmp_path / "f"))).collect()} & {"lossy"}
 
 
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    stash = Stash(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a" * 24, "x"), ("b" * 24, "y"), ("a" * 24, "x")], "key string, content string")
+    for _ in range(3):
+        stash.put(rows)
+    assert stash.table().count() == 2
+    later = F.current_timestamp() + F.expr("interval 20 minutes")  # beyond half of the time to live: stored anew
+    stash.put(rows.limit(1), later)
+    assert stash.table().count() == 3 and stash.live(later).count() == 2
+    assert {r.key for r in stash.has(spark.createDataFrame([("b" * 24,), ("c" * 24,)], "key string")).collect()} == {"b" * 24}
+
+
+def test_a_purge_that_fails_loses_nothing_live(spark, tmp_path, monkeypatch):
+    stash, ago = Stash(spark, str(tmp_path / "s")), lambda m: F.current_timestamp() - F.expr(f"interval {m} minutes")
+    for k, minutes in enumerate((300, 200, 100, 20, 1)):
+        stash.put(spark.createDataFrame([(f"{k}" * 24, str(k))], "key string, content string"), ago(minutes))
+
+    class Breaks:
+        def __init__(self, fs):
+            self.fs, self.left = fs, 1
+
+        def delete(self, *a):
+            if not self.left:
+                raise OSError("lost")
+            self.left -= 1
+            return self.fs.delete(*a)
+
+    place = stash._place
+    with monkeypatch.context() as m:
+        m.setattr(Stash, "_place", lambda self: (lambda p, fs: (p, Breaks(fs)))(*place()))
+        m.setattr(Stash, "exists", lambda self: True)
+        with pytest.raises(OSError):
+            stash.purge_expired()
+    live = lambda: {r.key[0] for r in stash.live().collect()}
+    assert live() == {"3", "4"} and stash.table().count() == 4
+    assert stash.purge_expired() == 2 and live() == {"3", "4"} and stash.purge_expired() == 0
+
+
+def test_line_hints_lead_to_the_lines(spark, tmp_path):
+    import re
+
+    e, text = api.Condenser.create(spark, str(tmp_path / "s")), hits()
+    row = e.text(text, "price")
+    found = re.findall(r'(\d+) lines omitted from file "([^"]+)", starting at line (\d+)', row["output"])
+    assert row["status"] == "lossy" and found and {name for _, name, _ in found} == {e.stash.file_path(row["stash_key"])}
+    for count, name, start in found[:3]:
+        lines = text.split("\n")[int(start) - 1 : int(start) - 1 + int(count)]
+        assert e.retrieve_lines(name, int(start), int(count)).text.rstrip("\n") == "\n".join(lines)
+    assert e.retrieve(found[0][1]) == text
+    assert "omitted from file" not in api.Condenser.create(spark, str(tmp_path / "s"), hints=False).text(text, "price")["output"]
+
+
+def test_rare_values_count_nulls_and_containers(spark):
+    import json
+
+    from condensa.kernels import jsoncrush
+
+    for odd in (None, {"k": 1}, [2]):
+        mixed = [{"s": "ok", "i": i} for i in range(36)] + [{"s": odd, "i": 90 + i} for i in range(4)]
+        plain = jsoncrush.rare_status_rows(base.loads(json.dumps(mixed)))
+        assert plain == (set() if odd is None else set(range(36, 40)))  # with a null alone there is one value only
+    both = [{"s": "ok"}] * 36 + [{"s": None}] * 3 + [{"s": "no"}]
+    assert jsoncrush.rare_status_rows(base.loads(json.dumps(both))) == {36, 37, 38, 39}
+    df = spark.createDataFrame([("g", x["s"]) for x in both] + [("h", "ok")] * 9 + [("h", None)], "g string, s string")
+    assert rows(stats.rare_values(df, "g", "s")) == [("g", "__none__", 3), ("g", "no", 1)]
+
+
 def test_bad_keys_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="24 hex"):
         Stash(spark, str(tmp_path / "k")).put(spark.createDataFrame([("../x", "y")], "key string, content string"))
