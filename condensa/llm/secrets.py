@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from condensa.llm.common import lean
+
 #: Kinds in their order, patterns, the group that has the value, its least length.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -227,6 +229,7 @@ def stretches(value: Column, table: list[float], config: MarkovConfig = MarkovCo
 
 def find_secrets(docs: DataFrame, table: list[float], config: MarkovConfig = MarkovConfig()) -> DataFrame:
     """``docs`` with ``secret_spans``: array of (start, kind, end, value), by start and kind; kind 3 is the model's."""
+    docs = lean(docs)
     c, text, none = config, F.coalesce(F.col("text"), F.lit("")), F.array().cast(_SPANS)
     run = text.rlike(_RUN % min(c.least_length, 20))  # access and hex spans have 20 characters at least
     out = docs.withColumn("__secret_run", run)
