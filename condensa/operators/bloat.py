@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from condensa.config import CRUSH, LOG, TEXT
-from condensa.functions.core import lines, trimmed
+from condensa.functions.core import let, lines, trimmed
 from condensa.operators.html import tag_density
 from condensa.operators.ranking import segments
 
@@ -28,6 +28,16 @@ def search(text: Column) -> Column:
     return _share(F.filter(lines(text), lambda x: trimmed(x) != ""), r"^\s*[^\s:]+:\d+:")
 
 
+def diff(text: Column) -> Column:
+    """Share of context among the lines of hunks; nothing without a diff."""
+    rest = lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(1)))
+    files = rest(F.split(F.concat(F.lit("\n"), F.regexp_replace(text, "\n$", "")), r"\n(?=diff --(?:git|combined|cc) )", -1))
+    hunks = F.flatten(F.transform(files, lambda f: rest(F.split(f, r"\n(?=@@+ )", -1))))
+    body = F.flatten(F.transform(hunks, lambda h: rest(F.split(h, "\n", -1))))
+    share = lambda xs: F.when(F.size(xs) > 0, F.size(F.filter(xs, lambda x: x.startswith(" "))) / F.size(xs)).otherwise(F.lit(0.0))
+    return let(body, share)
+
+
 def text(block: Column) -> Column:
     return F.when(F.size(segments(block)) < TEXT.min_segments, F.lit(0.0)).otherwise(F.lit(1 - TEXT.ratio))
 

@@ -79,10 +79,10 @@ def publish(compressed: DataFrame, stash: Stash, now: Column | None = None) -> D
     missing = needed.join(stored, "key", "left_anti").select("key", F.lit(True).alias("missing"))
     # a block depends on several keys only if markers stand within its text
     blocked = (
-        rows.where("result.status = 'lossy'").select(F.col("result.key").alias("block"), F.explode("result.stash.key").alias("key"))
-        .join(missing, "key").select("block").distinct().withColumn("__blocked", F.lit(True))
+        rows.where("result.status = 'lossy'").select(F.col("result.key").alias("__of"), F.explode("result.stash.key").alias("key"))
+        .join(missing, "key").select("__of").distinct().withColumn("__blocked", F.lit(True))
     )
-    out = rows.join(blocked, F.col("result.key") == F.col("block"), "left").drop("block")
+    out = rows.join(blocked, F.col("result.key") == F.col("__of"), "left").drop("__of")
     status = F.when(F.col("__blocked"), "reverted").otherwise(F.coalesce("result.status", F.lit("unchanged")))
     good = status.isin("lossless", "lossy")
     return out.select(

@@ -1,18 +1,32 @@
-"""Checkpoints in the folder that the session shares between its executors."""
+"""Checkpoints and scratch folders where the session keeps what its executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session without it gets a temporary folder of its own."""
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if where is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="condensa-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def fresh(spark: SparkSession) -> str:
+    """Name of a folder there that nobody else has."""
+    return f"{shared_dir(spark)}/condensa-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; only a local session gets a folder of its own for that."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="condensa-"))
+    """Cut the lineage with a reliable checkpoint."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
