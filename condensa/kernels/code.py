@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from condensa.config import CODE, CodeConfig
@@ -119,6 +120,10 @@ def _match(plain: str, at: int) -> int:
     return -1
 
 
+_AFTER_BRACE = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b|[;,).?]|\()")
+_AFTER_LINE = re.compile(r"\s*[.)\]}+*/&|?:]")
+
+
 def _statements(plain: str, start: int, end: int, lang: str) -> list[tuple[int, int]]:
     """Offsets of the first and last character of each statement between two offsets."""
     out, first, depth, last = [], None, 0, ""
@@ -133,13 +138,12 @@ def _statements(plain: str, start: int, end: int, lang: str) -> list[tuple[int,
             depth -= 1
         done = False
         if depth == 0 and first is not None:
-            rest = plain[i + 1 : end].lstrip()
             if c == ";":
                 done = True
             elif c == "}":
-                done = not re.match(r"else\b|catch\b|finally\b|while\b|[;,).?]|\(", rest) and not re.search(r"=>?\s*$|=\s*\w*\s*$", plain[first : plain.rfind("{", first, i)])
+                done = not _AFTER_BRACE.match(plain, i + 1, end) and not re.search(r"=>?\s*$|=\s*\w*\s*$", plain[first : plain.rfind("{", first, i)])
             elif c == "\n" and lang in LINE_ENDS:
-                done = last not in ",+-*/=&|([{.?:<>" and not re.match(r"[.)\]}+*/&|?:]", rest)
+                done = last not in ",+-*/=&|([{.?:<>" and not _AFTER_LINE.match(plain, i + 1, end)
         if done:
             out.append((first, i if c != "\n" else i - 1))
             first = None
@@ -155,7 +159,8 @@ def brace_functions(code: str, lang: str) -> list[Function] | None:
     plain = blanked(code, lang)
     if plain is None or not balanced(code, lang):
         return None
-    row = lambda at: plain.count("\n", 0, at)
+    ends = [m.start() for m in re.finditer("\n", plain)]
+    row = lambda at: bisect_left(ends, at)
     out: list[Function] = []
 
     def visit(at: int, end: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -21,12 +22,23 @@ class Section:
 
 
 def _json_at(text: str, at: int) -> int | None:
-    """End of the JSON container that starts at an offset."""
-    try:
-        value, end = loads_prefix(text, at)
-    except ValueError:
-        return None
-    return end if isinstance(value, (dict, list)) else None
+    """End of the JSON container that starts at an offset.
+
+    Tried on a part of the text that grows, so that a bracket that opens nothing costs little, wherever it stands.
+    """
+    size = 4096
+    while True:
+        part = text[at : at + size]
+        try:
+            value, end = loads_prefix(part)
+            return at + end if isinstance(value, (dict, list)) else None
+        except json.JSONDecodeError as e:
+            cut_off = e.msg.startswith("Unterminated string") or e.pos >= len(part) - 16
+            if at + size >= len(text) or not cut_off:
+                return None
+        except ValueError:
+            return None
+        size *= 4
 
 
 def sections(text: str) -> list[Section]:
@@ -47,11 +59,21 @@ def sections(text: str) -> list[Section]:
                 i = last + 1
                 continue
         kind, j = content_type(lines[i]), i + 1
+        inner, size = None, sum(nbytes(x) + 1 for x in lines[i : i + LOOKS_AT + 1])
         while j < n and not opens[j]:
-            # no detector but that of JSON looks beyond so many lines
-            seen = j - i > LOOKS_AT and not ("{" in lines[j] or "[" in lines[j])
-            if lines[j].strip() and not seen and content_type("\n".join(lines[i : j + 1])) != kind:
-                break
+            if j - i <= LOOKS_AT:
+                if lines[j].strip() and content_type("\n".join(lines[i : j + 1])) != kind:
+                    break
+            else:
+                # no detector but that of JSON looks beyond so many lines, and it looks at the first container only
+                if inner is None:
+                    first = _OPENER.search(text, starts[i])
+                    end = _json_at(text, first.start()) if first else None
+                    inner = (end, nbytes(text[first.start() : end])) if end else (0, 0)
+                end, own = inner
+                size += nbytes(lines[j]) + 1
+                if lines[j].strip() and (0 < end <= starts[j + 1] and own >= (size - 1) * 3 // 5) != (kind == JSON):
+                    break
             j += 1
         body = "\n".join(lines[i:j])
         out.append(Section(body, content_type(body), i, j - 1))
@@ -59,10 +81,13 @@ def sections(text: str) -> list[Section]:
     return out
 
 
+_OPENER = re.compile(r"[{\[]")
+
+
 def json_spans(text: str) -> list[tuple[int, int]]:
     """Outermost JSON containers of some size, wherever they start."""
     out, at = [], 0
-    while (m := re.compile(r"[{\[]").search(text, at)) is not None:
+    while (m := _OPENER.search(text, at)) is not None:
         end = _json_at(text, m.start())
         if end is not None and nbytes(text[m.start() : end]) >= LEAST_SPAN:
             out.append((m.start(), end))

@@ -14,6 +14,8 @@ HTML_NAMES = frozenset(
     strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video wbr math""".split()
 )
 TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*)((?:\s+(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?)(/?)>")
+#: What stands for a tag: a salt of digits and underscores, and a number.
+PLACEHOLDER = re.compile(r"\{\{CMPR_TAG_[0-9_]*[0-9]\}\}")
 
 
 @dataclass
@@ -79,4 +81,4 @@ def restore(text: str, wraps: dict[str, str]) -> str:
     """Put the wraps back; those whose placeholder is gone are gone with it."""
     if not wraps:
         return text
-    return re.sub("|".join(map(re.escape, wraps)), lambda m: wraps[m[0]], text)
+    return PLACEHOLDER.sub(lambda m: wraps.get(m[0], m[0]), text)

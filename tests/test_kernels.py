@@ -208,3 +208,18 @@ def test_any_text_is_safe(lines, seed):
     assert out.tokens_after <= out.tokens_before and out.status in ("unchanged", "lossless", "lossy", "reverted")
     if out.status in ("unchanged", "reverted"):
         assert out.text == text
+
+
+@pytest.mark.parametrize("kind", ["function", "functions", "tags", "brackets"])
+def test_long_blocks_take_time_in_proportion(kind):
+    import time
+
+    text = {
+        "function": "function f(a) {\n" + "".join(f"  const x{i} = a * {i};\n" for i in range(42_000)) + "  return 1;\n}\n",
+        "functions": "".join(f"function f{i}(a) {{\n" + "".join(f"  const x{j} = a;\n" for j in range(12)) + "}\n" for i in range(4_300)),
+        "tags": "".join(f"<note>{i}</note> x " for i in range(50_000)),
+        "brackets": "\n".join(f"the [pump] of shift {i} {{is}} out of order" for i in range(25_000)),
+    }[kind]
+    start = time.time()
+    out = block.shrink_block(text, "pump", "a.js" if kind[:8] == "function" else None)
+    assert out.tokens_after <= out.tokens_before and time.time() - start < 15
