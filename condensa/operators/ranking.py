@@ -111,10 +111,12 @@ def shingles(words: Column, k: int = 3) -> Column:
 def containment(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_shingles: Column, right_shingles: Column, least: float = TEXT.near_dup) -> DataFrame:
     """left_key, right_key, share: how much of a right text's shingles a left text has, from ``least`` on.
 
-    Met by shingle, so only texts that share one are compared; counts are added up, no text is collected.
+    Met by 64-bit hashes of the shingles, so only texts that share one are compared, and no strings are shuffled; shingles
+    that no right text has leave before anything is counted. Counts are added up, no text is collected.
     """
-    a = left.select(left_key, F.explode(left_shingles).alias("s"))
-    b = right.select(right_key, F.size(right_shingles).alias("size"), F.explode(right_shingles).alias("s"))
+    hashed = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.xxhash64(x)))
+    b = right.select(right_key, hashed(right_shingles).alias("h")).select(right_key, F.size("h").alias("size"), F.explode("h").alias("s"))
+    a = left.select(left_key, F.explode(hashed(left_shingles)).alias("s"))
     met = a.join(b, "s").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return met.select(left_key, right_key, (F.col("n") / F.col("size")).alias("share")).where(F.col("share") >= least)
 

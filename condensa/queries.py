@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa import inputs
@@ -53,6 +53,14 @@ def query(oracle: str | None = None):
 BYTES = "octet_length(encode(text))"
 TOKENS = f"CAST(ceil({BYTES} / CAST(4.0 AS DOUBLE) * CAST(1.2 AS DOUBLE)) AS BIGINT)"
 LINES = "string_split(text, chr(10))"
+#: Every other line of a text: what a lossy view may leave.
+HALF = f"array_to_string(list_filter({LINES}, lambda x, i: i % 2 = 1), chr(10))"
+
+
+def _half(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: i % 2 == 0), "\n")
+
+
 SAMPLE = lambda n: f"list_filter({LINES}[1:{n}], lambda x: regexp_matches(x, '\\S'))"
 
 # ---------------------------------------------------------------- sizes, keys, gates
@@ -78,11 +86,11 @@ def stash_keys(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT doc_id, {TOKENS} AS before, list_distinct(string_split_regex(text, '\\n\\s*\\n')) AS blocks,
-      CAST(ceil(octet_length(encode(text[1:600] || '<<stash:' || sha256(text)[1:24] || '>>')) / CAST(4.0 AS DOUBLE) * CAST(1.2 AS DOUBLE)) AS BIGINT) AS after FROM documents)
+      CAST(ceil(octet_length(encode({HALF} || '<<stash:' || sha256(text)[1:24] || '>>')) / CAST(4.0 AS DOUBLE) * CAST(1.2 AS DOUBLE)) AS BIGINT) AS after FROM documents)
     SELECT doc_id, before, after, after < before AS accepted FROM d"""
 )
 def acceptance(t: Tables) -> DataFrame:
-    shown = F.concat(F.substring("text", 1, 600), core.marker(core.stash_key("text")))
+    shown = F.concat(_half(F.col("text")), core.marker(core.stash_key("text")))
     return t.documents.select("doc_id", core.token_estimate("text").alias("before"), core.token_estimate(shown).alias("after"), core.accepted("text", shown).alias("accepted"))
 
 
@@ -95,17 +103,6 @@ def retrieve_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", core.line_slice("text", 2, 3).alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
-@query(
-    """WITH stash AS (SELECT sha256(text)[1:24] AS key, text AS content, doc_id AS stored FROM documents WHERE doc_id % 3 <> 0),
-    live AS (SELECT key, any_value(content) AS content FROM stash WHERE stored >= 200 GROUP BY key)
-    SELECT doc_id, live.key IS NOT NULL AS found, CAST(octet_length(encode(content)) AS INTEGER) AS n_bytes FROM documents LEFT JOIN live ON live.key = sha256(text)[1:24]"""
-)
-def stash_lookup(t: Tables) -> DataFrame:
-    docs = t.documents.withColumn("key", core.stash_key("text"))
-    live = docs.where("doc_id % 3 <> 0 and doc_id >= 200").groupBy("key").agg(F.first("text").alias("content"))
-    return docs.join(live, "key", "left").select("doc_id", F.col("content").isNotNull().alias("found"), F.octet_length("content").alias("n_bytes"))
-
-
 # ---------------------------------------------------------------- conversations
 
 
@@ -172,7 +169,8 @@ def request_format(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- content types
 
-_HTML = """WITH s AS (SELECT {key}, lower(array_to_string(list_transform(range(0, 1), lambda i: {text}[1:2400]), '')) AS s FROM {table}),
+_HTML = """WITH s AS (SELECT {key}, lower(CASE WHEN octet_length(encode({text})) <= 3000 THEN {text} WHEN octet_length(encode({text}[1:3000])) = 3000 THEN {text}[1:3000]
+  ELSE {text}[1:list_max(list_filter(range(750, 3000), lambda n: octet_length(encode({text}[1:n])) <= 3000))] END) AS s FROM {table}),
 c AS (SELECT {key}, CAST(regexp_matches(s, '^\\s*<!doctype html') AS INT) AS d, CAST(regexp_matches(s, '<html[ \\t>]') AS INT) AS h, CAST(regexp_matches(s, '<head[ \\t>]') AS INT) AS e,
 CAST(regexp_matches(s, '<body[ \\t>]') AS INT) AS b, len(regexp_extract_all(s, '<(?:div|span|script|style|link|meta|nav|header|footer|aside|article|section|main)[ \\t>]')) AS n FROM s)"""
 
@@ -182,7 +180,7 @@ CAST(regexp_matches(s, '<body[ \\t>]') AS INT) AS b, len(regexp_extract_all(s, '
     + " SELECT page_id, round(CASE WHEN d + h > 0 OR n >= 3 THEN least(1.0, 0.5 * d + 0.3 * h + 0.1 * e + 0.1 * b + least(0.3, 0.03 * n)) ELSE 0 END, 6)::DOUBLE AS confidence FROM c"
 )
 def html_confidence(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.round(detect.html_confidence(F.substring("html", 1, 2400)), 6).alias("confidence"))
+    return t.pages.select("page_id", F.round(detect.html_confidence("html"), 6).alias("confidence"))
 
 
 _AS_TEXT = "SELECT block, string_agg(line, chr(10) ORDER BY pos) AS text FROM ({lines}) AS l GROUP BY block"
@@ -226,14 +224,17 @@ def diff_detect(t: Tables) -> DataFrame:
     return every.select("block", detect.is_diff("text").alias("is_diff"))
 
 
-@query(
-    f"""WITH d AS (SELECT doc_id, {SAMPLE(50)} AS x FROM documents),
-    k AS (SELECT doc_id, len(x) AS n, list_transform(x, lambda l: len(regexp_extract_all(l, '\\|'))) AS c FROM d),
-    m AS (SELECT doc_id, n, c, list_max(list_transform(list_distinct(c), lambda v: {{'n': len(list_filter(c, lambda y: y = v)), 'c': v}})) AS best FROM k)
-    SELECT doc_id, round(CASE WHEN n >= 3 AND c[1] > 0 AND best.c > 0 THEN best.n / CAST(n AS DOUBLE) ELSE 0 END, 6) AS share FROM m"""
-)
+def _delimited(d: str) -> str:
+    """Share of the lines that have the most usual number of a delimiter."""
+    return f"""SELECT doc_id, '{d}' AS delimiter, round(CASE WHEN n >= 3 AND c[1] > 0 AND best.c > 0 THEN best.n / CAST(n AS DOUBLE) ELSE 0 END, 6) AS share FROM (
+      SELECT doc_id, n, c, list_max(list_transform(list_distinct(c), lambda v: {{'n': len(list_filter(c, lambda y: y = v)), 'c': v}})) AS best FROM (
+        SELECT doc_id, len(x) AS n, list_transform(x, lambda l: length(l) - length(replace(l, '{d}', ''))) AS c FROM (SELECT doc_id, {SAMPLE(50)} AS x FROM documents) AS x) AS k) AS m"""
+
+
+@query(" UNION ALL ".join(map(_delimited, "|,;")))
 def delimiter_share(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.round(detect.delimiter_share("text", "|"), 6).alias("share"))
+    each = F.array(*[F.struct(F.lit(d).alias("delimiter"), F.round(detect.delimiter_share("text", d), 6).alias("share")) for d in "|,;"])
+    return t.documents.select("doc_id", F.explode(each).alias("d")).select("doc_id", "d.*")
 
 
 @query(
@@ -246,9 +247,30 @@ def config_features(t: Tables) -> DataFrame:
     return _as_text(t.yaml_lines()).select("block", F.size(xs).cast("bigint").alias("n"), detect.matching(xs, r"^\s*[A-Za-z0-9._/-]+\s*:(?:\s|$)").cast("bigint").alias("keys"))
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter({LINES}[1:100], lambda x: regexp_matches(x, '^\\s*(?:(?:def|class|import|from|async def)\\s+\\w|@\\w|\"\"\"|if __name__\\s*==)'))) AS BIGINT) AS python FROM documents")
+_LANGUAGES = ("python", "javascript", "typescript", "go", "rust", "java")
+_CODE_TEXT = "array_to_string(list_transform({lines}, lambda x, i: CASE i % 9 WHEN 0 THEN 'def f(' || x WHEN 1 THEN '  const a = ' || x WHEN 2 THEN 'interface A ' || x WHEN 3 THEN 'func (x) ' || x WHEN 4 THEN '#[a] ' || x WHEN 5 THEN 'public class A ' || x ELSE x END), chr(10))"
+
+
+def _code_hits(lang: str) -> str:
+    from condensa.kernels.detect import CODE_LINE
+
+    pattern = CODE_LINE[lang].pattern.replace("'", "''")
+    return f"CAST(len(list_filter(string_split(code, chr(10))[1:100], lambda x: regexp_matches(x, '^\\s*(?:{pattern})'))) AS BIGINT) AS {lang}"
+
+
+@query(f"SELECT doc_id, {', '.join(map(_code_hits, _LANGUAGES))} FROM (SELECT doc_id, {_CODE_TEXT.format(lines=LINES)} AS code FROM documents) AS c")
 def code_hits(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", detect.code_hits("text", "python").cast("bigint").alias("python"))
+    """Lines of the documents made to look like those of six languages."""
+    starts = {0: "def f(", 1: "  const a = ", 2: "interface A ", 3: "func (x) ", 4: "#[a] ", 5: "public class A "}
+
+    def line(x: Column, i: Column) -> Column:
+        out = x
+        for k, start in starts.items():
+            out = F.when((i + 1) % 9 == k, F.concat(F.lit(start), x)).otherwise(out)
+        return out
+
+    docs = t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("code"))
+    return docs.select("doc_id", *[detect.code_hits("code", lang).cast("bigint").alias(lang) for lang in _LANGUAGES])
 
 
 @query()
@@ -370,10 +392,18 @@ def rare_fields(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT event_type, 'k' AS field, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS unique_count, 'int' AS type, false AS nullable FROM events GROUP BY 1"""
+    """SELECT event_type, 'a' AS field, count(*) AS n, count(DISTINCT event_id) AS unique_count, 'int' AS type, false AS nullable FROM events GROUP BY 1
+    UNION ALL SELECT event_type, 'b', count(*), count(DISTINCT CASE WHEN event_id % 5 > 0 THEN user_id END), CASE WHEN count(*) FILTER (event_id % 5 > 0) > 0 THEN 'string' ELSE 'string' END, count(*) FILTER (event_id % 5 = 0) > 0 FROM events GROUP BY 1
+    UNION ALL SELECT event_type, 'c', count(*) FILTER (event_id % 7 > 0), count(DISTINCT CASE WHEN event_id % 7 > 0 THEN event_id % 2 END), CASE WHEN count(DISTINCT CASE WHEN event_id % 7 > 0 THEN event_id % 2 END) = 2 THEN 'json' WHEN max(CASE WHEN event_id % 7 > 0 THEN event_id % 2 END) = 1 THEN 'bool' ELSE 'float' END,
+      count(*) FILTER (event_id % 7 = 0) > 0 FROM events GROUP BY 1"""
 )
 def key_profile(t: Tables) -> DataFrame:
-    return stats.key_profile(t.events, "event_type", "props")
+    """Objects with an integer, a string that may be null, and a key that may be missing and holds numbers or booleans."""
+    e = F.col("event_id")
+    b = F.when(e % 5 > 0, F.concat(F.lit('"u'), F.col("user_id").cast("string"), F.lit('"'))).otherwise("null")
+    c = F.when(e % 7 > 0, F.concat(F.lit(',"c":'), F.when(e % 2 == 0, "1.5").otherwise("true"))).otherwise("")
+    rows = t.events.select("event_type", F.concat(F.lit('{"a":'), e.cast("string"), F.lit(',"b":'), b, c, F.lit("}")).alias("o"))
+    return stats.key_profile(rows, "event_type", "o")
 
 
 @query(
@@ -396,15 +426,15 @@ def sample_budget(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) / CAST(count(*) AS DOUBLE) AS u, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 AS e, max(value) > avg(value) + 2 * stddev_samp(value) AS o FROM events GROUP BY 1)
-    SELECT user_id, CASE WHEN NOT (u < 0.1 OR e OR o) THEN 'skip' ELSE 'smart_sample' END AS strategy FROM s"""
+    """WITH s AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) / CAST(count(*) AS DOUBLE) AS u, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 AS e, max(value) > avg(value) + 2 * stddev_samp(value) AS o, min(event_id) % 5 = 0 AS score, max(event_id) % 3 = 0 AS changes, count(*) % 2 = 0 AS message, user_id % 4 > 0 AS low FROM events GROUP BY user_id)
+    SELECT user_id, CASE WHEN NOT (score OR u < 0.1 OR e OR o) THEN 'skip' WHEN score THEN 'top_n' WHEN changes THEN 'time_series' WHEN message AND low THEN 'cluster' ELSE 'smart_sample' END AS strategy FROM s"""
 )
 def sampling_strategy(t: Tables) -> DataFrame:
     s = t.events.groupBy("user_id").agg(
-        (F.count_distinct("event_type") / F.count(F.lit(1))).alias("u"), F.bool_or(F.col("event_type") == "error").alias("e"), (F.max("value") > F.avg("value") + 2 * F.stddev_samp("value")).alias("o")
-    )
-    no = F.lit(False)
-    return s.select("user_id", stats.recommended(no, no, no, F.col("u") < 0.1, F.col("e"), F.col("o"), no).alias("strategy"))
+        (F.count_distinct("event_type") / F.count(F.lit(1))).alias("u"), F.bool_or(F.col("event_type") == "error").alias("e"), (F.max("value") > F.avg("value") + 2 * F.stddev_samp("value")).alias("o"),
+        (F.min("event_id") % 5 == 0).alias("score"), (F.max("event_id") % 3 == 0).alias("changes"), (F.count(F.lit(1)) % 2 == 0).alias("message"),
+    )
+    return s.select("user_id", stats.recommended(F.col("score"), F.col("changes"), F.col("message"), F.col("u") < 0.1, F.col("e"), F.col("o"), F.col("user_id") % 4 > 0).alias("strategy"))
 
 
 @query(
@@ -504,20 +534,22 @@ def entropy_secrets(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_SECRETS} AS own, regexp_extract_all(text[1:300], '[A-Za-z0-9+/=_-]{{20,}}') AS seen FROM documents)
+    f"""WITH d AS (SELECT doc_id, {_SECRETS} AS own, regexp_extract_all({HALF}, '[A-Za-z0-9+/=_-]{{20,}}') AS seen FROM documents)
     SELECT doc_id, coalesce(list_bool_and(list_transform(own, lambda t: len(list_filter(seen, lambda x: x = t)) >= len(list_filter(own, lambda x: x = t)))), true) AS kept FROM d"""
 )
 def secrets_preserved(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", core.keeps_secrets("text", F.substring("text", 1, 300)).alias("kept"))
+    return t.documents.select("doc_id", core.keeps_secrets("text", _half(F.col("text"))).alias("kept"))
 
 
 @query(
-    """SELECT conv_id, turn, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text || ' see "Order Id" 12345 a@b.org', '[A-Za-z0-9@._-]+'), lambda x: regexp_matches(x, '^[0-9]{4,}$') OR contains(x, '@') OR (contains(x, '.') AND len(x) >= 4)) || ['Order Id'], lambda x: lower(x)))) AS anchors
-    FROM conversations WHERE NOT regexp_matches(text, '[''"]')"""
+    """WITH q AS (SELECT conv_id, turn, text || ' see "Order Id" 12345 a@b.org or ' || chr(39) || 'Part ' || turn || chr(39) || ', not "x"' AS q FROM conversations)
+    SELECT conv_id, turn, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(q, '[A-Za-z0-9@._-]+'), lambda x: regexp_matches(x, '^[0-9]{4,}$') OR contains(x, '@') OR (contains(x, '.') AND len(x) >= 4))
+      || list_filter(list_transform(regexp_extract_all(q, '"[^"]*"|' || chr(39) || '[^' || chr(39) || ']*' || chr(39)), lambda x: x[2:-2]), lambda x: length(trim(x)) >= 2), lambda x: lower(x)))) AS anchors FROM q"""
 )
 def query_anchors(t: Tables) -> DataFrame:
-    rows = t.conversations.where(~F.col("text").rlike("['\"]")).select("conv_id", "turn", F.concat("text", F.lit(' see "Order Id" 12345 a@b.org')).alias("q"))
-    return rows.select("conv_id", "turn", signals.query_anchors("q").alias("anchors"))
+    turn = F.col("turn").cast("string")
+    q = F.concat("text", F.lit(' see "Order Id" 12345 a@b.org or \'Part '), turn, F.lit("', not \"x\""))
+    return t.conversations.select("conv_id", "turn", signals.query_anchors(q).alias("anchors"))
 
 
 # ---------------------------------------------------------------- lines
@@ -534,12 +566,19 @@ def log_levels(t: Tables) -> DataFrame:
     return lines.classify(t.log_lines()).select("block", "pos", "level", "summary", "command")
 
 
+_TOOLS = ("npm WARN old lockfile of ", "   Compiling part ", "PASS src/test", "make[1]: Entering ", "=== test session starts ", "nothing said about ")
+
+
 @query(
-    f"""WITH b AS ({_AS_TEXT.format(lines=inputs.LOG_LINES)}), h AS (SELECT block, len(list_filter({LINES}[1:100], lambda x: contains(x, 'warning: ') OR contains(x, 'Running ') OR contains(x, 'error[E'))) AS n FROM b)
-    SELECT block, CASE WHEN n > 0 THEN 'cargo' ELSE 'generic' END AS format FROM h"""
+    """SELECT CAST(floor(event_id / 40) AS BIGINT) AS block, CASE CAST(floor(event_id / 40) AS BIGINT) % 6 WHEN 0 THEN 'npm' WHEN 1 THEN 'cargo' WHEN 2 THEN 'jest' WHEN 3 THEN 'make' WHEN 4 THEN CASE WHEN count(*) FILTER (event_id % 10 = 0) > count(*) FILTER (event_id % 10 <> 0) THEN 'make' ELSE 'pytest' END
+    ELSE CASE WHEN count(*) FILTER (event_id % 10 = 0) > 0 THEN 'make' ELSE 'generic' END END AS format FROM events GROUP BY 1"""
 )
 def log_formats(t: Tables) -> DataFrame:
-    return _as_text(t.log_lines()).select("block", signals.log_format(core.lines("text")).alias("format"))
+    """Logs of five tools and of none, each with some lines of a compiler."""
+    block = F.floor(F.col("event_id") / 40)
+    line = F.when((F.col("event_id") % 10 == 0) & (block % 6).isin(4, 5), "gcc -c a.c").otherwise(F.concat(F.element_at(F.array(*map(F.lit, _TOOLS)), (block % 6 + 1).cast("int")), F.col("event_type")))
+    rows = t.events.select(block.cast("bigint").alias("block"), F.col("event_id").alias("pos"), line.alias("line"))
+    return _as_text(rows).select("block", signals.log_format(core.lines("text")).alias("format"))
 
 
 @query(f"SELECT block, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warnings, count(*) FILTER (level = 'info') AS info, count(*) AS total FROM (SELECT block, {_LEVEL} AS level FROM ({inputs.LOG_LINES}) AS l) GROUP BY 1")
@@ -716,10 +755,10 @@ def bloat_estimates(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH b AS ({_AS_TEXT.format(lines=inputs.HIT_LINES)}), s AS (SELECT block, list_filter({LINES}, lambda x: regexp_matches(x, '\\S')) AS x FROM b)
-    SELECT block, round(len(list_filter(x, lambda l: regexp_matches(l, '^\\s*[^\\s:]+:\\d+:'))) / CAST(len(x) AS DOUBLE), 6) AS search, CAST(0 AS DOUBLE) AS json FROM s"""
+    SELECT block, round(len(list_filter(x, lambda l: regexp_matches(l, '^\\s*[^\\s:]+:\\d+:'))) / CAST(len(x) AS DOUBLE), 6) AS search FROM s"""
 )
 def search_bloat(t: Tables) -> DataFrame:
-    return _as_text(t.hit_lines()).select("block", F.round(bloat.search(F.col("text")), 6).alias("search"), F.coalesce(bloat.json(F.col("text")), F.lit(0.0)).alias("json"))
+    return _as_text(t.hit_lines()).select("block", F.round(bloat.search(F.col("text")), 6).alias("search"))
 
 
 # ---------------------------------------------------------------- whole blocks (kernels)
