@@ -1,11 +1,12 @@
 """URL filters: fixed rules, and a tree of path templates for each host.
 
-Segments of a path that vary (numbers, digests, or a branch with many rare children) become wildcards. Then, from the
-leaves up, sibling branches are merged if they are statistically similar: what stands below them is distributed alike,
-and their shares of blocked pages, where they have labelled ones, do not differ by more than chance. So a branch
-without labelled pages takes part in what is known of siblings of its shape. A merged template gets the share of
-blocked among its labelled pages, smoothed towards the share of its host, which is smoothed towards that of all.
-Templates that are pure enough are rejected; one that has no labelled page after merging never is. All DataFrame code.
+Segments of a path that vary (numbers, digests, or a branch with many rare children) become wildcards. Then branches
+that are statistically similar are merged. Within a host, from the leaves up: labelled siblings, if what stands below
+them is distributed alike and their shares of blocked pages do not differ by more than chance. Between hosts: branches
+of the same template, so that a host without labels for one goes with the hosts that have some. A template gets the
+share of blocked among the labelled pages of what it is merged with, smoothed towards the share of its host and of all;
+a lent one the mean of the hosts' shares, each counted once, so that no host outweighs the others. Templates that are
+pure enough are rejected; one that nothing labelled is merged with never is. All DataFrame code.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule and is allowed;
 repeated pages count as often as they occur. Other columns are not read.
@@ -35,8 +36,11 @@ class TreeConfig:
     similar: float = 0.5
     #: Labelled siblings within so many standard errors of their common share are merged.
     errors: float = 2.0
-    #: Weight, in pages, of the share of a host in that of its templates, and of the share of all in that of a host.
+    #: Weight of the share of a host in that of its templates, and of the share of all in that of a host, in pages; and of
+    #: the share of all in that of a template that other hosts lend, in hosts.
     prior: float = 4.0
+    #: A template is lent by so many hosts at least.
+    lenders: int = 3
     reject: float = 0.8
 
 
@@ -104,7 +108,7 @@ def merged(leaves: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     out = cut(leaves.withColumn("group", F.col("template")))
     for d in reversed(range(c.depth)):
         at = ["host", "above"]
-        branch = out.where(F.size("group") > d).select("host", F.slice("group", 1, d).alias("above"), F.element_at("group", d + 1).alias("child"), F.slice("group", d + 2, c.depth).alias("below"), "n", "labelled", "blocked")
+        branch = out.where(F.size("template") > d).select("host", F.slice("template", 1, d).alias("above"), F.element_at("template", d + 1).alias("child"), F.slice("template", d + 2, c.depth).alias("below"), "n", "labelled", "blocked")
         shapes = branch.groupBy(*at, "child", "below").agg(F.sum("n").alias("n"))
         kinds = branch.groupBy(*at, "child").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")])
         known = kinds.where("labelled > 0")
@@ -116,28 +120,38 @@ def merged(leaves: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
         )
         share, own = F.col("b") / F.col("l"), F.col("blocked") / F.col("labelled")
         error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.col("labelled"))
-        alike = (F.col("labelled") == 0) | (F.abs(own - share) <= c.errors * error)
+        alike = (F.col("labelled") > 0) & (F.abs(own - share) <= c.errors * error)
         like = kinds.join(pooled.drop("all"), at).join(common, [*at, "child"]).where((F.col("common") >= c.similar) & alike).select(*at, "child", F.lit(True).alias("like"))
-        keyed = out.select("*", F.slice("group", 1, d).alias("above"), F.try_element_at("group", F.lit(d + 1)).alias("child"))
-        group = F.concat(F.slice("group", 1, d), F.array(F.lit("~")), F.slice("group", d + 2, c.depth))
-        out = cut(keyed.join(like, [*at, "child"], "left").withColumn("group", F.when(F.col("like"), group).otherwise(F.col("group"))).select(*out.columns))
+        below = F.when(F.size("template") > d, F.slice("template", d + 2, c.depth)).alias("below")
+        keyed = out.select("*", F.slice("template", 1, d).alias("above"), F.try_element_at("template", F.lit(d + 1)).alias("child"), below).join(like, [*at, "child"], "left")
+        # what stands below merged branches alike is merged with it
+        deep = keyed.where("like").groupBy(*at, "below").agg(F.min(F.slice("group", d + 2, c.depth)).alias("deep"))
+        keyed = keyed.join(deep, [*at, "below"], "left")
+        group = F.concat(F.slice("group", 1, d), F.array(F.lit("~")), F.col("deep"))
+        out = cut(keyed.withColumn("group", F.when(F.col("like"), group).otherwise(F.col("group"))).select(*out.columns))
     return out
 
 
 def judged(counted: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """(host, template, group, n, labelled, blocked, purity, reject) from ``counted`` (host, template, n, labelled, blocked).
+    """(host, template, group, n, labelled, blocked, hosts, purity, reject) from ``counted`` (host, template, n, labelled, blocked).
 
-    ``labelled`` and ``blocked`` are those of the merged group.
+    ``labelled`` and ``blocked`` are those of the merged group; where that has none, ``hosts`` tells how many other
+    hosts lend their share of the template.
     """
     c = config
     leaves = merged(counted.groupBy("host", "template").agg(*[F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]), c)
     sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b")]
     total = leaves.groupBy().agg(*sums).select(F.when(F.col("l") > 0, F.col("b") / F.col("l")).otherwise(0.0)).first()[0]  # one number
-    hosts = leaves.groupBy("host").agg(*sums).select("host", ((F.col("b") + c.prior * F.lit(total)) / (F.col("l") + c.prior)).alias("prior"))
+    smoothed = lambda b, n, towards: (b + c.prior * towards) / (n + c.prior)
+    hosts = leaves.groupBy("host").agg(*sums).select("host", smoothed(F.col("b"), F.col("l"), F.lit(total)).alias("prior"))
     groups = leaves.groupBy("host", "group").agg(*sums).join(hosts, "host")
-    purity = (F.col("b") + c.prior * F.col("prior")) / (F.col("l") + c.prior)
-    groups = groups.select("host", "group", F.col("l").alias("labelled"), F.col("b").alias("blocked"), purity.alias("purity"), ((F.col("l") > 0) & (purity >= c.reject)).alias("reject"))
-    return leaves.select("host", "template", "group", "n").join(groups, ["host", "group"])
+    own = leaves.select("host", "template", "group", "n").join(groups, ["host", "group"])
+    lent = leaves.where("labelled > 0").groupBy("template").agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.col("blocked") / F.col("labelled")).alias("share"))
+    both = own.join(lent, "template", "left")
+    known = F.col("l") > 0
+    purity = F.when(known, smoothed(F.col("b"), F.col("l"), F.col("prior"))).otherwise(smoothed(F.coalesce("share", F.lit(0.0)), F.coalesce("hosts", F.lit(0)), F.lit(total)))
+    reject = (known | (F.coalesce("hosts", F.lit(0)) >= c.lenders)) & (purity >= c.reject)
+    return both.select("host", "template", "group", "n", F.col("l").alias("labelled"), F.col("b").alias("blocked"), F.when(~known, F.coalesce("hosts", F.lit(0))).alias("hosts"), purity.alias("purity"), reject.alias("reject"))
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, config: TreeConfig = TreeConfig()) -> DataFrame:
@@ -148,7 +162,7 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, config: TreeConfig = Tree
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     distinct = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    tree = templates(labelled(distinct, rules), config)
+    tree = templates(labelled(distinct.where("host <> ''"), rules), config)
     bad = judged(tree, config).where("reject").select("host", "template")
     # only the paths that the tree rejects and no rule settles meet the pages again
     rejected = tree.where("labelled = 0").join(bad, ["host", "template"], "left_semi").select("host", "path", F.lit(True).alias("rejected"))
