@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condensa.llm.common import cut, scratch
+from condensa.llm.common import cut, lean, scratch
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -52,7 +52,7 @@ def _safe(url: Column) -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the transactions of ``pages`` (page_id, url, html) as compressed WARC files in folders below ``path``."""
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", _safe(F.col("url")).alias("url"), body.alias("html"))
+    rows = lean(pages).select("page_id", _safe(F.col("url")).alias("url"), body.alias("html"))
     rows = rows.withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("html", 256), "size": F.octet_length("html")})
     order = F.struct(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page"), "row")
     firsts = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
