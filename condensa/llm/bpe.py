@@ -4,7 +4,9 @@ A prefix is encoded by its last token and the encoding of what stands before it.
 token that ends there and whose pair with the last token before it is stable under the merges. So every node of the
 trie needs one token only, and words that share a prefix share its nodes: it is encoded once.
 
-Defined results: null texts are empty and have no tokens; the special token's string in a text is that token.
+Defined results: null texts are empty and have no tokens; the special token's string in a text is that token. A file
+that asks for anything else (a normalizer, another way to cut words, added tokens that take white space with them or
+need word ends) is an error, not a different result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,15 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _supported(spec: dict) -> None:
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    flags = [k for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+    if spec.get("normalizer") or model.get("type", "BPE") != "BPE" or not plain or odd or flags:
+        raise ValueError(f"a tokenizer file that is not supported: {cut.get('type')} {odd} {flags}")
+
+
 class Bpe:
     """Vocabulary, merges and the trie of words seen so far."""
 
@@ -43,12 +54,14 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec)
         byte = byte_symbols()
         raw = lambda s: bytes(byte[c] for c in s)
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(self.ids[raw(a)], self.ids[raw(b)]): (i, self.ids[raw(a + b)]) for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_starts = frozenset(t[0] for t in self.special if t)
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.parts = {whole: pair for pair, (_, whole) in self.rank.items()}
@@ -173,7 +186,7 @@ class Bpe:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = []
         for t in texts:
-            parts = self.special_cut.split(t) if self.special_cut and "<" in t else [t]
+            parts = self.special_cut.split(t) if self.special_cut and any(c in t for c in self.special_starts) else [t]
             cut.append([p if p in self.special else WORDS.findall(p) for p in parts])
         if len(self.words) > self.MOST_WORDS:
             self.words = {}

@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder of the public tokenizer files; executors read it too.
-TOKENIZERS = os.environ.get("CONDENSA_TOKENIZERS", "/opt/tokenizers")
+#: Folder of the tokenizer files, where they are not those of the package ``public_tokenizers``; executors read it too.
+TOKENIZERS = os.environ.get("CONDENSA_TOKENIZERS", "")
 
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +84,33 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns alone find: the columns of op2 that SQL can say."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of each page, and the verdict where a rule gives it."""
+    from pyspark.sql import functions as F
+
+    judged = op9_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in 20 successive words of a benchmark text, by broadcast suffix automata."""
+    from pyspark.sql import functions as F
+
+    from condensa.llm.substring import in_reference, union_of
+
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return union_of(in_reference(docs, items)).select("doc_id", F.col("start").cast("long").alias("start"), F.col("words").cast("long").alias("words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        secret_patterns, url_rules, benchmark_spans,
         op1_toxicity, op2_secrets, op3_warc, op4_simhash, op5_bpe, op6_decontamination, op7_substring_dedup,
         op8_additive_quantisation, op9_url_filter, op10_token_counts,
     )
@@ -91,8 +119,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PART = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "secret_patterns": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        kinds AS (SELECT * FROM (VALUES (0, 'assign', '{_ASSIGN}', 2, 6), (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24)) AS v(k, kind, p, part, least)),
+        found AS (
+            SELECT doc_id, k, kind, least, regexp_split_to_array(t, '{_ASSIGN}') AS gaps, regexp_extract_all(t, '{_ASSIGN}') AS hits, regexp_extract_all(t, '{_ASSIGN}', 2) AS vals FROM d, kinds WHERE k = 0
+            UNION ALL SELECT doc_id, k, kind, least, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d, kinds WHERE k = 1
+            UNION ALL SELECT doc_id, k, kind, least, string_split_regex(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}') FROM d, kinds WHERE k = 2
+        ),
+        placed AS (
+            SELECT doc_id, k, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(hits[i]) AS n
+            FROM found, unnest(range(1, len(hits) + 1)) AS u(i) WHERE length(vals[i]) >= least
+        ),
+        told AS (
+            SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                   string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans
+            FROM placed GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+        FROM d LEFT JOIN told USING (doc_id)
+    """,
+    "url_rules": f"""
+        WITH u AS (SELECT page_id, translate({_PART.format(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PART.format(2)} AS path FROM pages),
+        rules AS (SELECT * FROM (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')) AS v(verdict, rule, h, p)),
+        fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+                FROM u, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict FROM u LEFT JOIN fit USING (page_id)
+    """,
+    "benchmark_spans": """
+        WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        item AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT array_to_string(w[s : s + 19], ' ') AS k FROM item, unnest(range(1, len(w) - 18)) AS t(s)),
+        hit AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS k FROM doc, unnest(range(1, len(w) - 18)) AS t(s)) JOIN win USING (k), unnest(range(s, s + 20)) AS c(p)),
+        run AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit)
+        SELECT doc_id, min(p) - 1 AS "start", count(*) AS words FROM run GROUP BY doc_id, g
+    """,
     "op3_warc": """
         SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest,
                CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,

@@ -11,8 +11,8 @@ grows with the length of the text and the number of matches, not with their prod
 and pieces of a text are taken from parts of bounded size.
 
 Offsets are code points, ends exclusive. Defined results: null texts are empty and hold nothing; repeated rows each
-give a row; without samples of a class its model is uniform. Other columns stay as they are, but for an input column
-``secret_spans``, which is replaced; columns whose names begin with ``__secret_`` are kept for this module.
+give a row; without samples of a class its model is uniform. Other columns stay as they are, but for one that has the
+name asked for the spans, which is replaced; names that begin with ``__secret_`` are kept for this module.
 """
 
 from __future__ import annotations
@@ -227,8 +227,8 @@ def stretches(value: Column, table: list[float], config: MarkovConfig = MarkovCo
     return F.aggregate(_pieces(value), state, lambda s, piece: F.aggregate(_codes(piece), s, step), closed)
 
 
-def find_secrets(docs: DataFrame, table: list[float], config: MarkovConfig = MarkovConfig()) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (start, kind, end, value), by start and kind; kind 3 is the model's."""
+def find_secrets(docs: DataFrame, table: list[float], config: MarkovConfig = MarkovConfig(), name: str = "secret_spans") -> DataFrame:
+    """``docs`` with the column ``name``: array of (start, kind, end, value), by start and kind; kind 3 is the model's."""
     docs = lean(docs)
     c, text, none = config, F.coalesce(F.col("text"), F.lit("")), F.array().cast(_SPANS)
     run = text.rlike(_RUN % min(c.least_length, 20))  # access and hex spans have 20 characters at least
@@ -253,7 +253,7 @@ def find_secrets(docs: DataFrame, table: list[float], config: MarkovConfig = Mar
 
     out = out.withColumn("__secret_new", F.when(F.col("__secret_run"), F.flatten(F.transform(runs, judged))).otherwise(none))
     spans = F.when(F.size("__secret_new") > 0, F.array_sort(F.concat("__secret_base", "__secret_new"))).otherwise(F.col("__secret_base"))
-    return out.withColumn("secret_spans", spans).drop("__secret_run", "__secret_base", "__secret_rest", "__secret_new")
+    return out.withColumn(name, spans).drop("__secret_run", "__secret_base", "__secret_rest", "__secret_new")
 
 
 def kind_name(x: Column) -> Column:
@@ -272,7 +272,7 @@ def digest_columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span of ``secret_spans`` in ``text`` replaced by ``mark``; overlapping spans by one mark."""
-    done = _without(F.col("text"), F.col("secret_spans"), lambda fresh, _: F.when(fresh, F.lit(mark)).otherwise(F.lit("")))
-    return docs.withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text")))
+def redact(docs: DataFrame, mark: str = "[SECRET]", spans: str = "secret_spans") -> DataFrame:
+    """``docs`` with each span of the column ``spans`` in ``text`` replaced by ``mark``; overlapping spans by one mark."""
+    done = _without(F.col("text"), F.col(spans), lambda fresh, _: F.when(fresh, F.lit(mark)).otherwise(F.lit("")))
+    return docs.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text")))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.llm.automaton import SuffixAutomaton
@@ -454,3 +454,12 @@ def in_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW) ->
             part.append((k, s, piece))
             size += len(piece)
     return out.unionByName(against(part)) if part else out
+
+
+def union_of(spans: DataFrame) -> DataFrame:
+    """(doc_id, start, words) of maximal spans, of overlapping and adjacent ``spans`` (doc_id, start, words)."""
+    before = Window.partitionBy("doc_id").orderBy("start", "words").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("words")
+    new = F.coalesce(F.col("start") > F.max(end).over(before), F.lit(True)).cast("int")
+    run = spans.withColumn("new", new).withColumn("run", F.sum("new").over(Window.partitionBy("doc_id").orderBy("start", "words")))
+    return run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("words")).drop("run")

@@ -4,6 +4,8 @@ Features of a text are the distinct buckets of its lower-cased words, of pairs o
 word between them. Weights are learned with per-coordinate rates and an L1 term (McMahan et al., 2013), so that few
 buckets keep a weight; those few are what is broadcast.
 
+The bias starts at the log-odds of the sample, smoothed, so that few labels do not make every text look doubtful.
+
 Defined results: a null or empty text has the bias as its only feature; labels of a doc_id that occurs more than once
 count as toxic if one of them is; null labels and null ids teach nothing; without any label every score is the
 smoothed prior of an empty sample (0.1). Other columns of the input are never read.
@@ -48,10 +50,10 @@ def buckets(words: list[bytes], hashes: WordHashes, bits: int) -> np.ndarray:
 
 
 class Ftrl:
-    """State of the learner: z and n by bucket; the last coordinate is the bias."""
+    """State of the learner: z and n by bucket; the last coordinate is the bias, which is added to ``offset``."""
 
-    def __init__(self, config: FtrlConfig):
-        self.c = config
+    def __init__(self, config: FtrlConfig, offset: float = 0.0):
+        self.c, self.offset = config, offset
         self.z, self.n = (np.zeros((1 << config.bits) + 1) for _ in range(2))
 
     def weights(self, at: np.ndarray) -> np.ndarray:
@@ -62,12 +64,17 @@ class Ftrl:
     def learn(self, at: np.ndarray, label: int) -> None:
         at = np.append(at, len(self.z) - 1)
         w = self.weights(at)
-        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum()))))) - label
+        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, self.offset + float(w.sum()))))) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.c.alpha * w
         self.n[at] = n + g * g
 
 
+def prior(toxic: int, rows: int) -> float:
+    """Log-odds of the share of toxic rows, as if ten more had been seen and one of them were toxic."""
+    return math.log((toxic + 1) / (rows - toxic + 9))
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); returns buckets, weights and bias.
 
@@ -92,16 +99,17 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rows = Ftrl(c), []
+        rows = []
         for b in batches:
             rows += [(int(label > 0), np.frombuffer(at, np.int32)) for label, at in zip(b.column("toxic").to_pylist(), b.column("at").to_pylist(), strict=True)]
+        model = Ftrl(c, prior(sum(label for label, _ in rows), len(rows)))
         for _ in range(c.epochs):
             for label, at in rows:
                 model.learn(at.astype(np.int64), label)
         if rows:
             w = model.weights(np.arange(len(model.z)))
-            keep = np.flatnonzero(w)
-            keep = np.union1d(keep, [len(w) - 1])
+            w[-1] += model.offset
+            keep = np.union1d(np.flatnonzero(w), [len(w) - 1])
             yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(w[keep])], ["at", "w"])
 
     # one task sees the rows in a fixed order, so that the model does not depend on the layout of the input
@@ -111,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: FtrlConfig = FtrlConfig()) -
     own = made.where(F.col("h") <= (F.lit(None).cast("long") if upto is None else F.lit(upto)))
     model = own.repartition(1).sortWithinPartitions("h", "at").mapInArrow(learn, "at long, w double").toPandas()
     if model.empty:
-        return np.zeros(0, np.int64), np.zeros(0), math.log(0.1 / 0.9)
+        return np.zeros(0, np.int64), np.zeros(0), prior(0, 0)
     at, w = model["at"].to_numpy(), model["w"].to_numpy()
     last = at == 1 << c.bits
     return at[~last], w[~last], float(w[last].sum())
