@@ -26,9 +26,9 @@ class Condenser:
     def create(cls, spark: SparkSession, stash_dir: str | None = None, hints: bool = True) -> Condenser:
         return cls(spark, Stash(spark, stash_dir), hints)
 
-    def text(self, text: str, query: str | None = None, source_path: str | None = None) -> dict:
+    def text(self, text: str, query: str | None = None, source_path: str | None = None, conservative: bool = False, ratio: float | None = None) -> dict:
         row = self.spark.createDataFrame([(text, query, source_path)], "text string, query string, source_path string")
-        return publish(compress_blocks(row, SCHEME if self.hints else None), self.stash).first().asDict()
+        return publish(compress_blocks(row, SCHEME if self.hints else None, conservative, ratio), self.stash).first().asDict()
 
     def request(self, body: str, query: str | None = None) -> tuple[str, dict]:
         row = self.spark.createDataFrame([("1", body, query)], "request_id string, body string, query string")

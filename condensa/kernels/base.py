@@ -34,6 +34,9 @@ class Context:
     #: Path of the stashed original; with it, kernels leave hints of the lines left out.
     stash_path: str | None = None
     line_offset: int = 0
+    #: Plain text: leave out exact repeats only; else keep this share of the bytes (the default of the extraction).
+    conservative: bool = False
+    ratio: float | None = None
 
 
 def nbytes(text: str) -> int:

@@ -81,10 +81,11 @@ def shrink_mixed(text: str, ctx: Context) -> Shrunk | None:
     return Shrunk(out, deferred=deferred) if changed and nbytes(out) < nbytes(text) else None
 
 
-def shrink_block(text: str, query: str = "", source_path: str | None = None, stash_dir: str | None = None, min_bytes: int = GATES.min_block_bytes) -> Outcome:
+def shrink_block(text: str, query: str = "", source_path: str | None = None, stash_dir: str | None = None, min_bytes: int = GATES.min_block_bytes, conservative: bool = False, ratio: float | None = None) -> Outcome:
     """Shrink one block; what comes back is never more tokens than went in, and keeps every secret.
 
-    ``stash_dir``: where stashed originals can be read as files; then line hints name them.
+    ``stash_dir``: where stashed originals can be read as files; then line hints name them. ``conservative`` and ``ratio``:
+    how plain text is shortened.
     """
     before = tokens(text)
     out = Outcome(text, tokens_before=before, tokens_after=before)
@@ -117,7 +118,7 @@ def shrink_block(text: str, query: str = "", source_path: str | None = None, sta
     path = f"{stash_dir.rstrip('/')}/{key}" if stash_dir else None
     source_text = guarded.text if path and guarded.text == text else current
     same = source_text == text
-    ctx = Context(query or "", source_path if same else None, path if same else None)
+    ctx = Context(query or "", source_path if same else None, path if same else None, conservative=conservative, ratio=ratio)
     kind = CODE if same and known else content_type(source_text)
     got = shrink_mixed(source_text, ctx) if kind == PLAIN else None
     if got is None:

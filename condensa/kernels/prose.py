@@ -211,7 +211,13 @@ def fold_blocks(text: str) -> Selection:
     return Selection("".join(x for x, k in zip(lines, keep) if k), kept, total, [j for j, k in enumerate(keep) if k])
 
 
+def bloat(text: str) -> float:
+    """Share of the bytes that the conservative mode would leave out."""
+    return 1 - nbytes(fold_blocks(text).text) / max(1, nbytes(text)) if text else 0.0
+
+
 def shrink_text(text: str, ctx: Context, conservative: bool = False, ratio: float | None = None, config: TextConfig = TEXT) -> Shrunk:
+    conservative, ratio = conservative or ctx.conservative, ctx.ratio if ratio is None else ratio
     got = fold_blocks(text) if conservative else extract(text, ctx.query, ratio, config)
     if got.kept >= got.total or got.text == text:
         raise Skip

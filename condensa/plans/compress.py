@@ -22,7 +22,7 @@ RESULT = T.StructType(
 )
 
 
-def shrink(text: Column, query: Column, source_path: Column, stash_dir: str | None = None) -> Column:
+def shrink(text: Column, query: Column, source_path: Column, stash_dir: str | None = None, conservative: bool = False, ratio: float | None = None) -> Column:
     """The kernel as a column: one struct a block. Declared nondeterministic, so that Spark evaluates it once."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -31,19 +31,20 @@ def shrink(text: Column, query: Column, source_path: Column, stash_dir: str | No
         for texts, queries, paths in batches:
             rows = []
             for t, q, p in zip(texts, queries, paths, strict=True):
-                o = shrink_block(t, q or "", p or None, stash_dir)
+                o = shrink_block(t, q or "", p or None, stash_dir, conservative=conservative, ratio=ratio)
                 rows.append((o.text, o.status, o.content_type, o.tokens_before, o.tokens_after, o.key, [{"key": k, "content": c} for k, c in o.stash]))
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT.fields])
 
     return F.pandas_udf(run, RESULT).asNondeterministic()(text, query, source_path)
 
 
-def compress_blocks(blocks: DataFrame, stash_dir: str | None = None) -> DataFrame:
+def compress_blocks(blocks: DataFrame, stash_dir: str | None = None, conservative: bool = False, ratio: float | None = None) -> DataFrame:
     """``blocks`` (text; query and source_path if there are such columns) with the struct ``result``.
 
     Blocks that are short, or hold a marker already, never reach Python: they are told apart by built-in functions, and
     their result is null. ``stash_dir``: line hints name lines left out by a file there and the key of the block;
-    ``condensa.sources.stash.SCHEME`` for names that ``Stash.retrieve`` reads.
+    ``condensa.sources.stash.SCHEME`` for names that ``Stash.retrieve`` reads. ``conservative``: of plain text only exact
+    repeats are left out; ``ratio``: else the share of its bytes that is kept.
     """
     has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
     fit = F.coalesce(over_gate("text") & ~has_marker("text"), F.lit(False))
@@ -53,7 +54,7 @@ def compress_blocks(blocks: DataFrame, stash_dir: str | None = None) -> DataFram
     ready = rows.where("__fit")
     if blocks.rdd.getNumPartitions() < 2 * cores:
         ready = ready.repartition(2 * cores)
-    done = ready.withColumn("result", shrink(F.col("text"), F.coalesce(has("query"), F.lit("")), F.coalesce(has("source_path"), F.lit("")), stash_dir))
+    done = ready.withColumn("result", shrink(F.col("text"), F.coalesce(has("query"), F.lit("")), F.coalesce(has("source_path"), F.lit("")), stash_dir, conservative, ratio))
     rest = rows.where(~F.col("__fit")).withColumn("result", F.lit(None).cast(RESULT))
     return done.unionByName(rest).drop("__fit")
 

@@ -754,3 +754,46 @@ def diff_bloat(t: Tables) -> DataFrame:
 def json_bloat(t: Tables) -> DataFrame:
     arrays = t.orders.groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("text"))
     return arrays.select("o_custkey", F.round(bloat.json(F.col("text")), 6).alias("json"))
+
+
+@query(
+    """SELECT p_partkey, CAST(round((octet_length(encode('Made of ' || p_name || '.')) + 2) / CAST(octet_length(encode('# ' || p_brand)) + 2 + 2 * (octet_length(encode('Made of ' || p_name || '.')) + 2) + octet_length(encode('Second ' || p_type || '.')) + 1 AS DOUBLE), 6) AS DOUBLE) AS share FROM part"""
+)
+def repeat_bloat(t: Tables) -> DataFrame:
+    """How much the conservative mode would leave out of a text: the paragraph that repeats."""
+    from condensa.kernels.prose import bloat as share
+
+    c = F.col
+    made = text("Made of ", c("p_name"), ".\n\n")
+    return t.part.select("p_partkey", F.round(each(share, "double", text("# ", c("p_brand"), "\n\n", made, made, "Second ", c("p_type"), ".\n")), 6).alias("share"))
+
+
+@query(
+    """WITH x AS (SELECT p_partkey, '# ' || p_brand || chr(10) || chr(10) AS head, repeat('Made of ' || p_name || ' and nothing else. ', 8) || chr(10) || chr(10) AS made, 'Second ' || p_type || ', as it was said.' || chr(10) AS tail FROM part)
+    SELECT p_partkey, 'lossy' AS status, head || made || tail || '<<stash:' || sha256(head || made || made || made || tail)[1:24] || '>>' AS output FROM x"""
+)
+def conservative_texts(t: Tables) -> DataFrame:
+    """Plain text through the pipeline in the conservative mode."""
+    from condensa.plans.compress import compress_blocks
+
+    c = F.col
+    made = text(F.repeat(text("Made of ", c("p_name"), " and nothing else. "), F.lit(8)), "\n\n")
+    blocks = t.part.select("p_partkey", text("# ", c("p_brand"), "\n\n", made, made, made, "Second ", c("p_type"), ", as it was said.\n").alias("text"))
+    return compress_blocks(blocks, conservative=True).select("p_partkey", "result.status", c("result.text").alias("output"))
+
+
+@query(
+    f"""WITH {_LOG_SELECT}, levels AS (SELECT block, count(*) AS total, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warnings FROM s GROUP BY 1), chosen AS (SELECT block, count(*) AS selected FROM z WHERE kept GROUP BY 1)
+    SELECT block, total, selected, errors, fails, warnings, true AS saves FROM levels JOIN chosen USING (block) WHERE total >= 50"""
+)
+def log_counters(t: Tables) -> DataFrame:
+    """What the log kernel reports of a block: lines, lines selected, levels, and that tokens are saved."""
+    from condensa.kernels.base import Context
+    from condensa.kernels.loglines import shrink_log
+
+    def run(x: str) -> tuple:
+        i = shrink_log(x, Context()).info
+        return i["total"], i["selected"], i["error"], i["fail"], i["warn"], i["tokens_saved"] > 0
+
+    long = _as_text(t.log_lines()).where(F.size(F.split("text", "\n", -1)) >= 50)
+    return long.select("block", each(run, "total bigint, selected bigint, errors bigint, fails bigint, warnings bigint, saves boolean", F.col("text")).alias("m")).select("block", "m.*")
