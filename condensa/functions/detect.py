@@ -6,6 +6,8 @@ JSON other than a whole container, quoted delimiters and a few rules for front m
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,12 +60,22 @@ def search_share(text: C) -> Column:
     return let(sampled(text, 100), lambda xs: F.when(F.size(xs) > 0, matching(xs, r"^[^:\s]+:\d+:") / F.size(xs)).otherwise(F.lit(0.0)))
 
 
+#: Every word of the first three log patterns has one of these.
+LOG_STEMS = ("error", "fail", "fatal", "critical", "warn", "info", "debug", "trace")
+
+
 def log_pattern(line: Column) -> Column:
-    """Number of the first log pattern of a line, or null."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(LOG_PATTERNS))):
-        out = F.when(line.rlike(LOG_PATTERNS[i]), F.lit(i)).otherwise(out)
-    return out
+    """Number of the first log pattern of a line, or null; lines without a stem are not searched for words."""
+
+    def first(fit: range, otherwise: Column) -> Column:
+        out = otherwise
+        for i in reversed(fit):
+            out = F.when(line.rlike(LOG_PATTERNS[i]), F.lit(i)).otherwise(out)
+        return out
+
+    rest = first(range(3, len(LOG_PATTERNS)), F.lit(None).cast("int"))
+    stems = let(F.lower(line), lambda x: reduce(Column.__or__, [x.contains(w) for w in LOG_STEMS]))
+    return F.when(stems, first(range(3), rest)).otherwise(rest)
 
 
 def log_confidence(text: C) -> Column:
@@ -142,10 +154,11 @@ def is_config(text: C) -> Column:
 
 
 def content_type(text: C) -> Column:
-    """The first detector that fits, in the order of the cascade."""
+    """The first detector that fits, in the order of the cascade; but for JSON, they look at the first 500 lines."""
+    whole, text = text, F.substring_index(col(text), "\n", 500)
     is_search = let(search_share(text), lambda s: (s >= 0.3) & (0.4 + 0.6 * s >= 0.6))
     return (
-        F.when(trimmed(text) == "", k.PLAIN).when(is_json(text), k.JSON).when(is_diff(text), k.DIFF)
+        F.when(trimmed(whole) == "", k.PLAIN).when(is_json(whole), k.JSON).when(is_diff(text), k.DIFF)
         .when(html_confidence(text) >= 0.7, k.HTML).when(is_search, k.SEARCH)
         .when(log_confidence(text) >= 0.5, k.LOG).when(is_table(text), k.TABLE).when(is_config(text), k.CONFIG)
         .when(code_confidence(text) >= 0.5, k.CODE).otherwise(k.PLAIN)
