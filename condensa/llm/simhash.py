@@ -303,7 +303,7 @@ def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 def similar_links(classes: DataFrame) -> DataFrame:
-    """(key, u, v): of the ``node``s of ``classes`` (node, least, bands) with a key, each is a candidate with the first one."""
+    """(key, u, v): of the ``node``s of ``classes`` (node, bands) with a key, each is a candidate with the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = lead = None
@@ -317,8 +317,8 @@ def similar_links(classes: DataFrame) -> DataFrame:
             last, lead = key[-1], leads[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (key, node, leads)], ["key", "u", "v"])
 
-    entries = classes.select("node", "least", F.explode("bands").alias("key"))
-    dealt = entries.repartition("key").sortWithinPartitions("key", "least", "node")
+    entries = classes.select("node", F.explode("bands").alias("key"))
+    dealt = entries.repartition("key").sortWithinPartitions("key", "node")
     return dealt.select("key", "node").mapInArrow(run, "key long, u long, v long")
 
 
