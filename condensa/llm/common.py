@@ -19,12 +19,31 @@ ALNUM_TABLE = bytes(
 )
 
 
+#: Folders that this process has named and not removed.
+_named: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder name under the shared scratch folder of the session (``spark.checkpoint.dir``).
 
     Only a local session without that setting gets a temporary folder of its own.
     """
-    return f"{shared_dir(spark)}/condensa-{uuid.uuid4().hex}"
+    _named.append(f"{shared_dir(spark)}/condensa-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the folders named so far, with all that was written to names that begin like them; returns how many.
+
+    Results are lazy and may still read them: for when they are written or no longer needed.
+    """
+    n, path = 0, spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _named:
+        every = path(_named.pop() + "*")
+        fs = every.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(every) or []:
+            n += bool(fs.delete(found.getPath(), True))
+    return n
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +72,12 @@ def cut(df: DataFrame, rows: int | None = None, few: bool = False) -> DataFrame:
 
     With ``rows``, the most rows that ``df`` can have, a small result is not written as a file for each partition. With
     ``few``, for results that are small against what they are made from, it is dealt out to a sixteenth of the partitions.
+    Before a result of unknown size is made, files of shuffles that nothing refers to any more are given up.
     """
     shared_dir(df.sparkSession)
+    if rows is None:
+        # Spark removes them when the driver's garbage is collected, which without this may be when the disks are full
+        df.sparkSession.sparkContext._jvm.System.gc()
     if few:
         df = df.repartition(-(-shuffle_partitions(df.sparkSession) // 16))
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
