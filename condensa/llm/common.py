@@ -72,17 +72,21 @@ def cut(df: DataFrame, rows: int | None = None, few: bool = False) -> DataFrame:
 
     With ``rows``, the most rows that ``df`` can have, a small result is not written as a file for each partition. With
     ``few``, for results that are small against what they are made from, it is dealt out to a sixteenth of the partitions.
-    Before a result of unknown size is made, files of shuffles that nothing refers to any more are given up.
     """
     shared_dir(df.sparkSession)
-    if rows is None:
-        # Spark removes them when the driver's garbage is collected, which without this may be when the disks are full
-        df.sparkSession.sparkContext._jvm.System.gc()
     if few:
         df = df.repartition(-(-shuffle_partitions(df.sparkSession) // 16))
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give up the files of shuffles that nothing refers to any more.
+
+    Spark removes them when the driver's garbage is collected, which by itself may be when the disks are full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a batch, between Spark and Python and of the Parquet reader. Those of the defaults take tens of megabytes of
 #: texts, several times over, in each worker and executor.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.parquet.columnarReaderBatchSize": "512"}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.common import WordHashes, as_bytes, cut, lean, mix
+from condensa.llm.common import WordHashes, as_bytes, cut, lean, mix, release
 from condensa.llm.components import components
 from condensa.llm.substring import _rolled
 
@@ -428,11 +428,17 @@ def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame,
     """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
     own = cut(signatures(docs, shingle_words))
     classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("bands").alias("bands"))
+    release(docs.sparkSession)  # here and below: each of these moves as much as all signatures, or sets, are
     found = cut(similar_links(classes))
     met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    release(docs.sparkSession)
     sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))
+    release(docs.sparkSession)
     near = cut(verified(found.select("u", "v").distinct(), sets), few=True)
-    more = cut(missing_links(found, components(near), sets), few=True)
+    reached = components(near)
+    release(docs.sparkSession)
+    more = cut(missing_links(found, reached, sets), few=True)
+    release(docs.sparkSession)
     reached = components(near.union(more))
     rooted = _rooted(classes.select("node", "least"), reached)
     first = rooted.groupBy("root").agg(F.min("least").dropFields("none").alias("first"))
