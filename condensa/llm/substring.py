@@ -8,7 +8,8 @@ quadratic. There, hashes select what can match, and route it to the one shard wh
 1. Of each window the smallest hash of its inner word groups is selected; groups that occur once in the corpus rule
    out their windows. Equal windows select equal groups, so no repeated window is lost.
 2. The windows left are matched by hash with an earlier one; that one's passage is the reference. Each batch of a
-   task sends one window of each kind and settles its other copies itself, so no group of copies meets in one task.
+   task sends one window of each kind and settles its other copies itself, and what the batches send forms a tree of
+   references, so no group of copies meets in one task.
 3. Reference passages are put together in shards by their document; a suffix automaton of each shard is built where
    the passages that may match it arrive, and they stream past it. Only what it confirms, word by word, is removed.
 
@@ -201,6 +202,28 @@ def _later(o: np.ndarray, p: np.ndarray, r: np.ndarray, q: np.ndarray, buckets:
     return _by_doc(LATER, o, p, r, q, buckets) + _by_doc(FIRST, first[0], first[1], None, None, buckets)
 
 
+#: Of the entries of a hash, so many refer to one earlier entry; those to one before them, and so on to the first.
+FAN = 256
+
+
+def _earlier(head: np.ndarray, o: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each place of entries in order, that of an earlier entry of its hash, or of its first one.
+
+    Any earlier occurrence proves a repeat. So that not all of a hot hash go to one reference, they form a tree.
+    """
+    fresh = np.ones(len(o), bool)
+    fresh[1:] = (head[1:] == np.arange(1, len(o))) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+    number, place = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    i = number - number[head]
+    parent, todo, step = np.zeros(len(o), np.int64), i > 0, FAN
+    while todo.any():
+        own = todo & (i % step != 0)
+        parent[own] = i[own] - i[own] % step
+        todo &= ~own
+        step *= FAN
+    return place[number[head] + parent]
+
+
 def _reduce(table: pa.Table, buckets: int, settle: bool) -> pa.Table:
     """Of one bucket: entries whose hash another task sent too. What is settled already is passed on."""
     kinds = table.column("kind").to_numpy()
@@ -211,9 +234,9 @@ def _reduce(table: pa.Table, buckets: int, settle: bool) -> pa.Table:
     o, p = o[order], p[order]
     lead = head == np.arange(len(h))
     if settle:
-        at = np.flatnonzero(~lead)
-        at = at[(o[at] != o[head[at]]) | (p[at] != p[head[at]])]
-        rows = _later(o[at], p[at], o[head[at]], p[head[at]], buckets)
+        of = _earlier(head, o, p)
+        at = np.flatnonzero((o != o[of]) | (p != p[of]))
+        rows = _later(o[at], p[at], o[of[at]], p[of[at]], buckets)
     else:
         size = np.bincount(head, minlength=len(h))[head] if len(h) else NONE
         at = np.flatnonzero((size > 1) | (more[order] > 0))
