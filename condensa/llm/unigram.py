@@ -14,11 +14,12 @@ Defined results: null and empty texts have no tokens.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,17 +97,24 @@ def vocabulary(model_file: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
 
 
-@lru_cache(maxsize=2)
-def load(model_file: str) -> UnigramCounter:
-    return UnigramCounter(vocabulary(model_file))
+#: Of a worker, for all its tasks.
+_loaded: dict[str, UnigramCounter] = {}
+
+
+def _load(name: str, pieces: Broadcast) -> UnigramCounter:
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = UnigramCounter(pieces.value)
+    return _loaded[name]
 
 
 def count_tokens(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and n_tokens of every whole text. ``model_file`` must be readable on every executor."""
-    kind = docs.schema[key].dataType.simpleString()
+    """``key`` and n_tokens of every whole text. The driver reads ``model_file`` and sends its pieces (a megabyte or so)."""
+    kind, pieces = docs.schema[key].dataType.simpleString(), vocabulary(model_file)
+    shared, name = docs.sparkSession.sparkContext.broadcast(pieces), hashlib.sha256(repr(pieces).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load(model_file)
+        counter = _load(name, shared)
         for b in batches:
             texts = b.column(1).to_pylist()
             out = []
