@@ -13,20 +13,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.llm.common import chunks, lean
 
 #: How byte-level BPE cuts a text into words: fixed value of the format.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts of ASCII characters, in which these are all letters, digits and white space.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -36,6 +40,13 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _supported(spec: dict) -> None:
     cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
@@ -51,9 +62,8 @@ class Bpe:
     #: The trie is begun anew beyond so many nodes; the encodings of words, and of pairs, are forgotten beyond so many.
     MOST_NODES, MOST_WORDS, MOST_PAIRS = 100_000, 300_000, 300_000
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw: bytes):
+        spec = json.loads(raw)
         _supported(spec)
         byte = byte_symbols()
         raw = lambda s: bytes(byte[c] for c in s)
@@ -79,7 +89,9 @@ class Bpe:
         #: By their last three bytes, the lengths of tokens, longest first; shorter tokens are tried with all.
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Ids of words, as the bytes of little-endian numbers.
+        self.words: dict[str, bytes] = {}
+        self.table = np.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)], object)
         self.clear()
 
     def clear(self) -> None:
@@ -181,13 +193,13 @@ class Bpe:
                 out.append(last[node])
                 node = before[node]
             out.reverse()
-            known[word] = tuple(out)
+            known[word] = packed(out)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = []
         for t in texts:
             parts = self.special_cut.split(t) if self.special_cut and any(c in t for c in self.special_starts) else [t]
-            cut.append([p if p in self.special else WORDS.findall(p) for p in parts])
+            cut.append([p if p in self.special else (ASCII_WORDS if p.isascii() else WORDS).findall(p) for p in parts])
         if len(self.words) > self.MOST_WORDS:
             self.words = {}
         new: set[str] = set().union(*(p for parts in cut for p in parts if not isinstance(p, str)))
@@ -195,29 +207,48 @@ class Bpe:
         of = self.words.__getitem__
         out = []
         for parts in cut:
-            ids = [(self.special[p],) if isinstance(p, str) else chain.from_iterable(map(of, p)) for p in parts]
-            out.append(np.fromiter(chain.from_iterable(ids), "<u4"))
+            ids = [packed([self.special[p]]) if isinstance(p, str) else b"".join(map(of, p)) for p in parts]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return b"".join(self.table[ids].tolist()).decode("utf-8", "replace")
+
+
+def read(path: str) -> Bpe:
+    with open(path, "rb") as f:
+        return Bpe(f.read())
+
+
+#: Of a worker, for all its tasks.
+_loaded: dict[str, Bpe] = {}
+
+
+def _sent(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """Name and bytes (some megabytes) of a tokenizer file, which the driver reads and sends."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    return hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def _load(sent: tuple[str, Broadcast]) -> Bpe:
+    name, raw = sent
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = Bpe(raw.value)
+    return _loaded[name]
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", output: str = "ids") -> DataFrame:
     """``key`` with, by ``output``: the ids themselves (``ids``: array of int) or their digest (``digest``).
 
     ``digest`` returns n_tokens, ids_sha256 and, after decoding those ids again, decoded_sha256. ``tokenizer`` is a
-    vocabulary file that every executor can read. Other columns are not read.
+    vocabulary file that the driver can read. Other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, sent = docs.schema[key].dataType.simpleString(), _sent(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        bpe = _load(sent)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             rows: list[tuple] = []
@@ -241,10 +272,10 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
 def decode(tokens: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key`` and text of arrays of ids; null arrays decode to empty texts, invalid UTF-8 to replacement characters."""
-    kind = tokens.schema[key].dataType.simpleString()
+    kind, sent = tokens.schema[key].dataType.simpleString(), _sent(tokens.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        bpe = _load(sent)
         for b in batches:
             texts = [bpe.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [key, "text"])

@@ -404,7 +404,7 @@ def test_bpe_refuses_other_files(tmp_path):
         path = tmp_path / "t.json"
         path.write_text(json.dumps(spec | change))
         with pytest.raises(ValueError):
-            bpe.Bpe(str(path))
+            bpe.read(str(path))
 
 
 @needs_tokenizers
@@ -412,7 +412,7 @@ def test_bpe_forgets_without_harm(monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer("byte_bpe_50k.json")
-    own, reference = bpe.Bpe(path), Tokenizer.from_file(path)
+    own, reference = bpe.read(path), Tokenizer.from_file(path)
     monkeypatch.setattr(bpe.Bpe, "MOST_NODES", 50)
     monkeypatch.setattr(bpe.Bpe, "MOST_WORDS", 30)
     monkeypatch.setattr(bpe.Bpe, "MOST_PAIRS", 20)
@@ -482,8 +482,9 @@ def plain_removal(rows: list[tuple[int | None, str | None]]) -> Counter:
     return out
 
 
-@pytest.mark.parametrize("batch,shard", [(1_000_000, 100_000), (50, 40)])
-def test_substring_dedup(docs, texts, none, batch, shard, monkeypatch):
+@pytest.mark.parametrize("batch,shard,fan", [(1_000_000, 100_000, 256), (50, 40, 2)])
+def test_substring_dedup(docs, texts, none, batch, shard, fan, monkeypatch):
+    monkeypatch.setattr(substring, "FAN", fan)
     monkeypatch.setattr(substring, "BATCH", batch)
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
     got = by_row(substring.repeated_words(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -491,6 +492,16 @@ def test_substring_dedup(docs, texts, none, batch, shard, monkeypatch):
     assert substring.repeated_words(none).count() == 0
 
 
+def test_references_of_a_hot_passage_form_a_tree(monkeypatch):
+    monkeypatch.setattr(substring, "FAN", 4)
+    o, p = np.sort(np.random.default_rng(2).integers(0, 300, 400)), np.zeros(400, np.int64)
+    h = np.zeros(400, np.uint64)
+    order, head = substring._runs(h, o, p)
+    of = substring._earlier(head, o, p)
+    assert all(of[i] == 0 and o[i] == o[0] or o[of[i]] < o[i] for i in range(400))
+    assert np.bincount(np.unique(np.stack([o[of], o]), axis=1)[0]).max() <= 4 * 6  # some for each of its levels
+
+
 def test_substring_of_equal_ids(spark):
     a, b = sentence(40), sentence(40)
     rows = [(1, a), (1, b + " " + a), (1, a), (2, a), (2, b)]
@@ -652,6 +663,37 @@ def test_recall_in_full_blocks():
     assert np.mean(hits) >= 0.9, np.mean(hits)
 
 
+@pytest.mark.parametrize("clusters", [30, 1])
+def test_recall_of_cells(spark, clusters):
+    """Few cells are searched where vectors have clusters, and many where they have none; recall holds in both."""
+    r, c = np.random.default_rng(9), additive.AqConfig(cell_rows=400, block=512, rerank=128, sample=3000)
+    centre = r.standard_normal((clusters, 24)) * (clusters > 1)
+    x = (centre[r.integers(0, clusters, 12_000)] + 0.4 * r.standard_normal((12_000, 24))).astype(np.float32)
+    cells = additive.Cells(additive._unit(x[: c.sample]), len(x), c)
+    assert cells.count == 30 and (cells.probes <= 8 if clusters > 1 else cells.probes > 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found: dict[int, set] = {}
+    for q in additive.nearest(df, config=c).collect():
+        found.setdefault(q.query_id, set()).add(q.vec_id)
+    unit = additive._unit(x)
+    asked = np.arange(0, len(x), 50)
+    exact = unit[asked] @ unit.T
+    exact[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-exact, axis=1)[:, :5]
+    assert np.mean([len(found[int(q)] & set(t.tolist())) / 5 for q, t in zip(asked, true)]) >= 0.9
+
+
+def test_cells_of_several_levels():
+    r, c = np.random.default_rng(10), additive.AqConfig(cell_rows=1, cell_words=8)
+    x = additive._unit(r.standard_normal((200, 6)))
+    cells = additive.Cells(x, 200, c)
+    assert cells.books.shape[0] == 3 and cells.count == cells.books.shape[1] ** 3
+    sums = np.stack([cells.books[0][i] + cells.books[1][j] + cells.books[2][k] for i in range(cells.books.shape[1]) for j in range(cells.books.shape[1]) for k in range(cells.books.shape[1])])
+    exact = ((x[:20, None] - sums[None]) ** 2).sum(axis=2)
+    got = cells.nearest(x[:20], cells.count)
+    assert (got == np.argsort(exact, axis=1, kind="stable")).mean() > 0.99
+
+
 # ---------------------------------------------------------------- 9 URLs
 
 

@@ -8,6 +8,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from condensa.llm import common
 from condensa.llm.queries import ORACLES, QUERIES, tokenizer
 
 needs_tokenizers = pytest.mark.skipif(not os.path.isfile(tokenizer("byte_bpe_50k.json")), reason="no tokenizer files")
@@ -55,7 +56,9 @@ def test_stages(spark, folder):
     assert "24be6443" not in got[4000] and "[SECRET]" in got[4000] and all(got[i] == clean[i] for i in clean)
     assert all(r.n_chars == len(r.text) for r in docs.collect())
     reference = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    common.remove_scratch(spark)
     out = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, path).collect()}
+    assert common.remove_scratch(spark) >= len(corpus_pipeline.STAGES) and common.remove_scratch(spark) == 0
     assert out == {i: reference.encode(t, add_special_tokens=False).ids for i, t in got.items()}
 
 
