@@ -9,8 +9,9 @@ end by bits; lists that are too long for one task are dealt out anew by 5 bytes,
 gives links that connect its pairs, not all pairs of a group.
 
 ``near_duplicates`` links by fingerprints of word shingles alone. ``similar_groups`` finds texts by the similarity of
-their five-word shingles: texts meet by bands of minima of their shingle hashes, which a pair shares with a probability
-that depends on its Jaccard similarity only, and the exact similarity of the two sets of shingle hashes decides. The texts of
+their five-word shingles, by the same method with longer fingerprints: texts meet in an inverted index of the 48 bytes in
+place of a SimHash of 384 bits, pairs that share at least 2 of them and differ in few bits are candidates, and the exact
+similarity of the two sets of shingle hashes decides. The candidates of a list that hang together are a bucket. The texts of
 a bucket are compared with its first one; then, where that leaves several components in a bucket, with all that are not
 in their own component. So all similar pairs that meet are connected.
 
@@ -22,6 +23,7 @@ smallest id of a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -263,19 +265,27 @@ def _rooted(classes: DataFrame, reached: DataFrame) -> DataFrame:
 
 #: Texts are similar from this Jaccard similarity of their shingles on, as a fraction.
 LEAST = (4, 5)
-#: A text has so many keys, each of so many minima of its shingles: a pair at 0.8 shares one in all but 3 of a million cases.
-BANDS, ROWS = 32, 5
-_ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingle hashes, for each band of the minima of the set under so many orders."""
-    if not len(shingles):
-        return shingles
-    least = np.full(len(_ODD), 2**64 - 1, np.uint64)
-    for s in range(0, len(shingles), 1024):
-        least = np.minimum(least, (shingles[s : s + 1024] * _ODD[:, None]).min(axis=1))
-    return mix((mix(least).reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+#: Bytes of the fingerprint of a set of shingles. At 0.8 a bit differs with a probability of 0.152 at most, so a pair shares
+#: ``TALLY`` or more of the bytes in place in all but some 5 of a million cases.
+PLACES = 48
+TALLY = 2
+#: Candidates differ in no more bits than this, of the whole fingerprint and of its first 128 bits (at 0.8: 58 and 19, with
+#: deviations of 7 and 4; texts that have nothing in common: 192 and 64).
+APART, APART_FIRST = 104, 46
+#: The lists of so many places are made at a time, and their shuffles given up before the next.
+AT_ONCE = 8
+#: In larger parts of lists, rows of the largest group that hangs together are not paired with each other at all.
+WIDE = 512
+_ODD = mix(np.arange(1, PLACES // 8 + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _print(shingles: np.ndarray) -> bytes:
+    """SimHash of a set of shingle hashes: the majority of each bit of so many hashes of them."""
+    total = np.zeros(8 * PLACES, np.int64)
+    for s in range(0, len(shingles), 255):
+        part = mix(shingles[s : s + 255, None] * _ODD)
+        total += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(shingles)).tobytes()
 
 
 def _shingles(h: np.ndarray, shingle_words: int) -> np.ndarray:
@@ -284,42 +294,152 @@ def _shingles(h: np.ndarray, shingle_words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """(doc_id, content, node, bands): hashes of the text and of its set of shingles, keys by which similar sets meet."""
+    """(doc_id, content, node, print): hashes of the text and of its set of shingles, and the set's fingerprint (null: empty)."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            node, bands = [], []
+            node, prints = [], []
             for text in as_bytes(b.column("text")):
                 shingles = _shingles(hashes.of(text.lower().split()), shingle_words)
                 node.append(xxhash.xxh3_64_intdigest(shingles.tobytes()))
-                bands.append(_bands(shingles).view(np.int64))
-            columns = [b.column("doc_id"), b.column("content"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "bands"])
+                prints.append(_print(shingles) if len(shingles) else None)
+            columns = [b.column("doc_id"), b.column("content"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "node", "print"])
 
     rows = lean(docs).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    return rows.mapInArrow(run, f"doc_id {ids}, content long, node long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {ids}, content long, node long, print binary")
 
 
 def similar_links(classes: DataFrame) -> DataFrame:
-    """(key, u, v): of the ``node``s of ``classes`` (node, bands) with a key, each is a candidate with the first one."""
+    """(key, u, v): buckets of the ``node``s of ``classes`` (node, print), in which each is a candidate with the first one.
+
+    An entry of the index is a text's byte at a place. Within a list, texts that share a byte at a later place too have
+    reached the tally; those of them that differ in few bits hang together, and what does is a bucket.
+    """
+    every = []
+    for s in range(0, PLACES - TALLY + 1, AT_ONCE):
+        every.append(cut(_buckets(classes, range(s, min(s + AT_ONCE, PLACES - TALLY + 1))), few=True))
+        release(classes.sparkSession)
+    return reduce(DataFrame.union, every)
+
 
+def _buckets(classes: DataFrame, places: range) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = lead = None
+        held: list[tuple[np.ndarray, ...]] = []  # of the list that the last batch ended in
         for b in batches:
-            key, node = (b.column(c).to_numpy() for c in ("key", "node"))
-            if not len(key):
+            if not b.num_rows:
+                continue
+            prints = np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint8).reshape(-1, PLACES)
+            rows = (b.column("place").to_numpy(), prints[np.arange(len(prints)), b.column("place").to_numpy()], b.column("node").to_numpy(), prints)
+            if held and all(held[0][c][0] == rows[c][0] == rows[c][-1] for c in (0, 1)):
+                held.append(rows)
                 continue
-            first = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            leads = np.where(at < 0, node[0] if lead is None else lead, node[at])
-            last, lead = key[-1], leads[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (key, node, leads)], ["key", "u", "v"])
+            rows = tuple(np.concatenate(x) for x in zip(*held, rows, strict=True))
+            ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            start = 0
+            for end in ends.tolist():
+                yield from found(*(x[start:end] for x in rows))
+                start = end
+            held = [tuple(x[start:] for x in rows)]
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    entries = classes.select("node", F.explode("bands").alias("key"))
-    dealt = entries.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node").mapInArrow(run, "key long, u long, v long")
+    def found(place: np.ndarray, byte: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = _hanging(prints, int(place[0]))
+        own = np.flatnonzero(of != np.arange(len(of)))
+        if len(own):
+            lead = node[of[own]]
+            key = mix(lead.view(np.uint64) + mix(256 * place[own].astype(np.uint64) + byte[own] + np.uint64(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[own]), pa.array(lead)], ["key", "u", "v"])
+
+    where = F.explode(F.array(*map(F.lit, places))).alias("place")
+    entries = classes.where("print is not null").select("node", "print", where).withColumn("byte", F.expr("substring(print, place + 1, 1)"))
+    dealt = entries.repartition("place", "byte").sortWithinPartitions("place", "byte")
+    return dealt.select("place", "node", "print").mapInArrow(run, "key long, u long, v long")
+
+
+def _hanging(prints: np.ndarray, place: int) -> np.ndarray:
+    """For each fingerprint of a list, the first one that it hangs together with by candidates that also share a later place."""
+    n, words = len(prints), np.ascontiguousarray(prints).view(np.uint64)
+    of = np.arange(n)
+    later = PLACES - place - 1
+    if n < 2 or not later:
+        return of
+    value = (prints[:, place + 1 :] + 256 * np.arange(later, dtype=np.uint16)).astype(np.uint16).T.ravel()
+    row = np.argsort(value, kind="stable")
+    value, row = value[row], row % n
+    starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    sizes = np.diff(np.append(starts, len(row)))
+    left = np.where(sizes > WIDE, 0, sizes)
+    left = np.repeat(left, sizes) - (np.arange(len(row)) - np.repeat(starts, sizes))  # rows from here to the part's end
+    at, d = np.flatnonzero(left > 1), 1
+    while len(at):  # pairs so many rows apart
+        for s in range(0, len(at), 1 << 18):
+            a, b = row[at[s : s + (1 << 18)]], row[at[s : s + (1 << 18)] + d]
+            apart = of[a] != of[b]
+            a, b = a[apart], b[apart]
+            near = _candidates(words, a, b)
+            of = _joined(of, a[near], b[near])
+        d += 1
+        at = at[left[at] > d]
+    for s, size in zip(starts[sizes > WIDE].tolist(), sizes[sizes > WIDE].tolist(), strict=True):
+        own = row[s : s + size]
+        if (of[own] != of[own[0]]).any():
+            of = _joined(of, *_grown(words, own, of[own]))
+    return of
+
+
+def _candidates(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows ``a`` and ``b`` share enough bytes in place and differ in few bits."""
+    first = np.bitwise_count(words[a, 0] ^ words[b, 0]) + np.bitwise_count(words[a, 1] ^ words[b, 1])
+    near = np.flatnonzero(first <= APART_FIRST)
+    apart = words[a[near]] ^ words[b[near]]
+    kept = tally(apart).sum(axis=1) >= TALLY
+    return near[kept & (np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= APART)]
+
+
+def _grown(words: np.ndarray, own: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that, with the groups ``of`` the rows ``own``, connect all candidates of them.
+
+    The largest group is grown by what hangs together with its rows until fewer rows are left than are to be asked for;
+    each of these is compared with all.
+    """
+    _, kind = np.unique(of, return_inverse=True)
+    inside = kind == np.bincount(kind).argmax()
+    front, rest, pairs = own[inside].tolist(), own[~inside], []
+    while len(rest):
+        if not front:  # nothing else hangs together with these
+            own, front, rest = rest, [rest[0]], rest[1:]
+            continue
+        if len(rest) <= len(front):
+            break
+        x = np.full(len(rest), front.pop())
+        near = _candidates(words, x, rest)
+        if len(near):
+            pairs.append((x[near], rest[near]))
+            front += rest[near].tolist()
+            rest = np.delete(rest, near)
+    for r in rest.tolist():
+        x = np.full(len(own), r)
+        near = _candidates(words, x, own)
+        pairs.append((x[near], own[near]))
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (own[:0], own[:0])
+
+
+def _joined(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first row of each group, after joining the groups ``of`` the rows ``a`` and ``b``."""
+    of = of.copy()
+    while True:
+        x, y = of[a], of[b]
+        apart = x != y
+        if not apart.any():
+            return of
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(of, np.maximum(x, y), np.minimum(x, y))
+        while (of[of] != of).any():
+            of = of[of]
 
 
 def _sets(docs: DataFrame, of: DataFrame, shingle_words: int) -> DataFrame:
@@ -427,9 +547,10 @@ def missing_links(met: DataFrame, reached: DataFrame, sets: DataFrame) -> DataFr
 def _grouped(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of the rows; (node, root) of each distinct signature; (root, first) of each group."""
     own = cut(signatures(docs, shingle_words))
-    classes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least")
+    classes = cut(own.groupBy("node").agg(least, F.first("print").alias("print")))
     release(docs.sparkSession)  # here and below: each of these moves as much as all signatures, or sets, are
-    found = cut(similar_links(classes))
+    found = similar_links(classes)
     met = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     release(docs.sparkSession)
     sets = cut(_sets(docs, classes.select("node", "least").join(met, "node"), shingle_words))

@@ -31,6 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles are similar to 0.8 or more: that of smallest id.
 
+    Candidates are found by SimHash, an inverted index of the fingerprints' bytes in place and a tally of shared bytes, as in
+    op4; the exact similarity decides.
+
     Rows that are repeated, and all null and empty texts (and those of white space only), are groups too, of which one
     row stays; of a group without any id, one row. Of rows with equal ids that stand for a group the one with the
     smallest hash of its text stays.

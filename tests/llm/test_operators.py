@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from condensa.llm import additive, bpe, decontam, secrets, simhash, substring, toxicity, unigram, url_tree, warc
 from condensa.llm.automaton import SuffixAutomaton
+from condensa.llm.common import WordHashes, mix
 from condensa.llm.components import components
 from condensa.llm.queries import tokenizer
 
@@ -590,6 +591,79 @@ def test_texts_near_to_a_follower_only_are_found(spark, monkeypatch):
     assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == want
 
 
+def plain_print(text):
+    """Majority of each of 384 bits of six hashes of the five-word shingles."""
+    shingles = [int(x) for x in simhash._shingles(WordHashes().of(text.lower().encode().split()), 5)]
+    hashes = [[int(x) for x in mix(np.array([s], np.uint64) * simhash._ODD)] for s in shingles]
+    words = [sum((2 * sum(h[k] >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) for k in range(6)]
+    return b"".join(w.to_bytes(8, "little") for w in words)
+
+
+def plain_buckets(prints):
+    """Sets of rows that hang together in a list: two shared bytes in place, the first of them the list's, and few differing bits."""
+    out = Counter()
+    for p in range(48):
+        for value in range(256):
+            own = [i for i, x in enumerate(prints) if x[p] == value]
+            near = [(i, j) for i in own for j in own if i < j and hang(prints[i], prints[j], p)]
+            of = {i: i for i in own}
+            for i, j in near:
+                a, b = of[i], of[j]
+                of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
+            out.update(frozenset(k for k in of if of[k] == r) for r in set(of.values()) if list(of.values()).count(r) > 1)
+    return out
+
+
+def hang(x, y, p):
+    differ = lambda n: sum((a ^ b).bit_count() for a, b in zip(x[:n], y[:n], strict=True))
+    return any(x[q] == y[q] for q in range(p + 1, 48)) and differ(48) <= simhash.APART and differ(16) <= simhash.APART_FIRST
+
+
+def test_similar_texts_meet_in_the_index_of_bytes_of_their_fingerprints(spark):
+    draw, texts = random.Random(34), []
+    for size in (9, 30, 120, 120):
+        first = [f"w{draw.randrange(30000)}" for _ in range(size)]
+        texts += [" ".join(edited(first, k, f"x{k}.", start=4)) for k in (0, 1, 2, 5)]
+    df = spark.createDataFrame([*enumerate(texts), (100, ""), (101, None)], SCHEMA)
+    own = {r.doc_id: r for r in simhash.signatures(df).collect()}
+    prints = [plain_print(t) for t in texts]
+    assert [bytes(own[i].print) for i in range(len(texts))] == prints and own[100].print is own[101].print is None
+    row = {own[i].node: i for i in range(len(texts))}
+    buckets: dict[int, set] = {}
+    for r in simhash.similar_links(simhash.signatures(df).select("node", "print")).collect():
+        buckets.setdefault(r.key, set()).update((row[r.u], row[r.v]))
+    assert Counter(map(frozenset, buckets.values())) == plain_buckets(prints)
+
+
+@pytest.mark.parametrize("wide", [4, 512])
+def test_lists_join_all_candidates(monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, (6, 48), dtype=np.uint8)
+    prints = []
+    for i in range(300):
+        flip = r.random(384) < r.choice([0.05, 0.15, 0.25, 0.5])
+        prints.append(base[i % 6] ^ np.packbits(flip))
+    prints = np.array(prints)
+    for place in (0, 20, 46):
+        prints[:, place] = 7
+        for own in (prints, prints[:1], prints[:2]):
+            of = simhash._hanging(own, place)
+            near = [(i, j) for i in range(len(own)) for j in range(i) if hang(bytes(own[i]), bytes(own[j]), place)]
+            want = simhash._joined(np.arange(len(own)), *np.array(near, int).reshape(-1, 2).T)
+            assert of.tolist() == want.tolist() and (len(own) < 3 or len(set(want.tolist())) < 300)
+
+
+def test_short_texts_from_the_threshold_on_are_found(spark):
+    draw, rows = random.Random(36), []
+    for i in range(0, 400, 2):
+        words = [f"w{draw.randrange(30000)}" for _ in range(9 if i % 4 else 40)]
+        other = words[:-1] if i % 4 else edited(words, 1, "x", start=37)
+        assert similarity(" ".join(words), " ".join(other)) >= 0.8
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    assert {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(0, 400, 2))
+
+
 @pytest.mark.parametrize("part", [300, 1_000_000])
 def test_forest_connects_all_similar_pairs(monkeypatch, part):
     monkeypatch.setattr(simhash, "PART", part)
