@@ -231,6 +231,13 @@ def test_rare_values_count_nulls_and_containers(spark):
     assert rows(stats.rare_values(df, "g", "s")) == [("g", "__none__", 3), ("g", "no", 1)]
 
 
+def test_clusters_whose_names_collide_stay_apart(spark):
+    heads = ["message 43683", "message 116758"]  # both are cluster dca35a58
+    df = spark.createDataFrame([(i, "g", m) for i, m in enumerate([heads[0]] * 3 + [heads[1]] * 3 + ["", "", "", None, None, None])], "id int, g string, m string")
+    got = {r.id: r.cluster for r in stats.cluster_sample(df, "g", "m", "id").collect()}
+    assert sorted(got) == [0, 1, 3, 4, 6, 7, 9, 10] and {got[i] for i in (0, 1, 3, 4)} == {"dca35a58"} and got[9] is None is not got[6]
+
+
 def test_bad_keys_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="24 hex"):
         Stash(spark, str(tmp_path / "k")).put(spark.createDataFrame([("../x", "y")], "key string, content string"))
