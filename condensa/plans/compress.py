@@ -38,6 +38,14 @@ def shrink(text: Column, query: Column, source_path: Column, stash_dir: str | No
     return F.pandas_udf(run, RESULT).asNondeterministic()(text, query, source_path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over all cores, whatever files and row groups they come from.
+
+    A row group is read by one task, however many splits its file has, and a kernel costs far more than a shuffle.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def compress_blocks(blocks: DataFrame, stash_dir: str | None = None, conservative: bool = False, ratio: float | None = None) -> DataFrame:
     """``blocks`` (text; query and source_path if there are such columns) with the struct ``result``.
 
@@ -49,11 +57,7 @@ def compress_blocks(blocks: DataFrame, stash_dir: str | None = None, conservativ
     has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
     fit = F.coalesce(over_gate("text") & ~has_marker("text"), F.lit(False))
     rows = blocks.withColumn("__fit", fit)
-    # few input splits, such as one file, would leave most cores idle in the kernel, which costs far more than a shuffle
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    ready = rows.where("__fit")
-    if blocks.rdd.getNumPartitions() < 2 * cores:
-        ready = ready.repartition(2 * cores)
+    ready = spread(rows.where("__fit"))
     done = ready.withColumn("result", shrink(F.col("text"), F.coalesce(has("query"), F.lit("")), F.coalesce(has("source_path"), F.lit("")), stash_dir, conservative, ratio))
     rest = rows.where(~F.col("__fit")).withColumn("result", F.lit(None).cast(RESULT))
     return done.unionByName(rest).drop("__fit")

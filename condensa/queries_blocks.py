@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from condensa import inputs
 from condensa.functions import core
 from condensa.operators import bloat, lines, ranking
+from condensa.plans.compress import spread
 from condensa.queries import _DIFF, _LOG_SELECT, _SECRETS, LINES, Tables, _as_text, query
 
 NL = "chr(10)"
@@ -69,7 +70,7 @@ def tag_protect(t: Tables) -> DataFrame:
         .when(k == 6, text("<w1>x</w1><w1>", kind, "</w1> 1 < 2 > 0")).otherwise(text("<font>x</font> <FOO>", kind, "</FOO>"))
     )
     out = "protected string, seen int, html int, blocks int, self_closing int, orphans int, collision boolean, restored boolean"
-    return t.events.select("event_id", each(run, out, made).alias("p")).select("event_id", "p.*")
+    return spread(t.events).select("event_id", each(run, out, made).alias("p")).select("event_id", "p.*")
 
 
 @query(
@@ -84,7 +85,7 @@ def tag_options(t: Tables) -> DataFrame:
         return some.text, tags.protect(b, markers_only=True).text, tags.restore(some.text.replace("{{CMPR_TAG_0}}", ""), some.wraps)
 
     a, b = text("x <take>z</take> <keep>y</keep> ", F.col("event_type")), text("<b>a</b> <w1 q='1'>", F.col("event_type"), "</w1>")
-    return t.events.select("event_id", each(run, "some string, marks string, lost string", a, b).alias("p")).select("event_id", "p.*")
+    return spread(t.events).select("event_id", each(run, "some string, marks string, lost string", a, b).alias("p")).select("event_id", "p.*")
 
 
 # ---------------------------------------------------------------- JSON
@@ -101,7 +102,7 @@ def json_minify(t: Tables) -> DataFrame:
     c = F.col
     pretty = text('{\n  "key" : ', c("p_partkey"), ',\n  "name": "', c("p_name"), '",\n  "tags": [ "', c("p_brand"), '", ', c("p_size"), ', null, true ],\n  "in": {"type": "', c("p_type"), '"}\n}\n')
     got = each(lambda x: (minified(x), isinstance(json_payload(x)[0], dict)), "minified string, found boolean", pretty)
-    return t.part.select("p_partkey", got.alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", got.alias("m")).select("p_partkey", "m.*")
 
 
 _RECORDS = """SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS block, '[' || CAST(count(*) AS VARCHAR) || ']{brand:string,key:int,name:string,price:float,small:bool}' || chr(10) ||
@@ -432,7 +433,7 @@ def hit_forms(t: Tables) -> DataFrame:
         .when(k == 3, text("my dir/", c("event_type"), ".py:", rest)).otherwise(text("no match of ", c("event_type")))
     )
     got = each(lambda x: parse_hit(x) or (None, None, None), "file string, line bigint, content string", line)
-    return t.events.select("event_id", got.alias("m")).select("event_id", "m.*")
+    return spread(t.events).select("event_id", got.alias("m")).select("event_id", "m.*")
 
 
 @query(
@@ -489,7 +490,7 @@ def pinned_segments(t: Tables) -> DataFrame:
 def report_words(t: Tables) -> DataFrame:
     from condensa.kernels.prose import count_words
 
-    return t.documents.select("doc_id", each(count_words, "bigint", F.col("text")).alias("words"))
+    return spread(t.documents).select("doc_id", each(count_words, "bigint", F.col("text")).alias("words"))
 
 
 @query(
@@ -507,7 +508,7 @@ def folded_blocks(t: Tables) -> DataFrame:
     c = F.col
     made, todo = text("Made of ", c("p_name"), ".\n\n"), text("todo: ", c("p_size"), "\n")
     whole = text("# ", c("p_brand"), "\n\n", made, "Second ", c("p_type"), ".\n\n", made, "# Again\n\n", made, todo, "\n", todo)
-    return t.part.select("p_partkey", each(run, "text string, kept int, total int", whole).alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", each(run, "text string, kept int, total int", whole).alias("m")).select("p_partkey", "m.*")
 
 
 @query(
@@ -568,7 +569,7 @@ def folded_code(t: Tables) -> DataFrame:
     body = F.transform(F.sequence(F.lit(0), 29 + c("p_size") % 20), lambda i: F.when(even, text("    x", i, " = a + ", i, "\n")).otherwise(text("  const x", i, " = a + ", i, ";\n")))
     whole = F.when(even, text("def f", c("p_partkey"), "(a):\n", F.array_join(body, ""), "    return x1\n")).otherwise(text("function f", c("p_partkey"), "(a) {\n", F.array_join(body, ""), "  return x1;\n}\n"))
     path = F.when(even, "src/A.PY").otherwise("src/a.js")
-    return t.part.select("p_partkey", each(run, "text string, language string, folded int", whole, path).alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", each(run, "text string, language string, folded int", whole, path).alias("m")).select("p_partkey", "m.*")
 
 
 @query(
@@ -590,7 +591,7 @@ def code_languages(t: Tables) -> DataFrame:
         lang = language(x)
         return lang, balanced(x, lang)
 
-    return t.part.select("p_partkey", each(run, "language string, balanced boolean", broken).alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", each(run, "language string, balanced boolean", broken).alias("m")).select("p_partkey", "m.*")
 
 
 # ---------------------------------------------------------------- mixed blocks, types
@@ -622,7 +623,7 @@ def json_spans(t: Tables) -> DataFrame:
 
     c = F.col
     whole = text("see ", c("p_name"), ' ["', F.repeat("p_name", F.lit(100)), '"] and [1]')
-    return t.part.select("p_partkey", each(run, "start int, stop int, replaced string", whole).alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", each(run, "start int, stop int, replaced string", whole).alias("m")).select("p_partkey", "m.*")
 
 
 @query(
@@ -655,7 +656,7 @@ def path_languages(t: Tables) -> DataFrame:
 
     k = F.col("p_partkey") % 5
     path = text("src/v1.2/", F.col("p_type"), F.when(k == 0, ".py").when(k == 1, ".JAVA").when(k == 2, ".ts").when(k == 3, ".rs").otherwise(".txt"))
-    return t.part.select("p_partkey", each(path_language, "string", path).alias("language"))
+    return spread(t.part).select("p_partkey", each(path_language, "string", path).alias("language"))
 
 
 # ---------------------------------------------------------------- requests, stash
@@ -765,7 +766,7 @@ def repeat_bloat(t: Tables) -> DataFrame:
 
     c = F.col
     made = text("Made of ", c("p_name"), ".\n\n")
-    return t.part.select("p_partkey", F.round(each(share, "double", text("# ", c("p_brand"), "\n\n", made, made, "Second ", c("p_type"), ".\n")), 6).alias("share"))
+    return spread(t.part).select("p_partkey", F.round(each(share, "double", text("# ", c("p_brand"), "\n\n", made, made, "Second ", c("p_type"), ".\n")), 6).alias("share"))
 
 
 @query(

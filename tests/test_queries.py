@@ -49,5 +49,15 @@ def test_query(spark, small, duck, name):
     assert got == table(rel.project(",".join(f'"{c}"' for c in names)).fetchall())
 
 
+@pytest.mark.parametrize("name", ["folded_code", "tag_protect", "report_words", "conservative_texts", "compress_documents"])
+def test_kernels_use_all_cores(spark, small, name):
+    """The tables are one row group each, which one task reads; the kernel's rows lie in many partitions."""
+    from pyspark.sql import functions as F
+
+    cores = spark.sparkContext.defaultParallelism
+    parts = entry.queries()[name](spark, small).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 2 * cores
+
+
 def test_entry(spark, small):
     assert entry.entry(spark).count() > 0
