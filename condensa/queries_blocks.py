@@ -646,7 +646,7 @@ def block_types(t: Tables) -> DataFrame:
         .when(k == 7, text("import os\n\n", many(lambda i: text("def f", i, "(a):\n    return a + ", n)))).when(k == 8, text('{"a": ', n, ', "b": ["', name, '"]}'))
         .otherwise(many(lambda i: text("The ", name, " lies on a shelf and nobody has asked for it so far.")))
     )
-    rows = t.part.select("p_partkey", whole.alias("text"))
+    rows = spread(t.part).select("p_partkey", whole.alias("text"))
     return rows.select("p_partkey", content_type("text").alias("native"), each(kernel, "string", F.col("text")).alias("kernel"))
 
 
