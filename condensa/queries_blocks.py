@@ -606,7 +606,7 @@ def block_sections(t: Tables) -> DataFrame:
     c = F.col
     whole = text("intro of ", c("p_name"), '\n[\n  {"key": ', c("p_partkey"), '},\n  {"size": ', c("p_size"), "}\n]\noutro of ", c("p_type"))
     got = each(lambda x: [(i, s.kind, s.first, s.last) for i, s in enumerate(sections(x))], "array<struct<pos:int,kind:string,first:int,last:int>>", whole)
-    return t.part.select("p_partkey", F.explode(got).alias("s")).select("p_partkey", "s.*")
+    return spread(t.part).select("p_partkey", F.explode(got).alias("s")).select("p_partkey", "s.*")
 
 
 @query(
