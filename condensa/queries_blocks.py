@@ -528,7 +528,7 @@ def html_markdown(t: Tables) -> DataFrame:
         made = shrink_html(x, Context()).text
         return made, len(made) < len(x)
 
-    return t.part.select("p_partkey", each(run, "markdown string, smaller boolean", page).alias("m")).select("p_partkey", "m.*")
+    return spread(t.part).select("p_partkey", each(run, "markdown string, smaller boolean", page).alias("m")).select("p_partkey", "m.*")
 
 
 _CONFIG_TEXT = "string_agg('# part ' || p_partkey || ' is of ' || p_type || ', size ' || p_size || chr(10) || 'part_' || p_partkey || ':' || chr(10) || '  name: ' || p_name || chr(10) || '  brand: ' || replace(p_brand, '#', '') || chr(10) || chr(10), '' ORDER BY p_partkey)"

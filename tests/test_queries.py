@@ -49,7 +49,7 @@ def test_query(spark, small, duck, name):
     assert got == table(rel.project(",".join(f'"{c}"' for c in names)).fetchall())
 
 
-@pytest.mark.parametrize("name", ["folded_code", "block_types", "block_sections", "tag_protect", "report_words", "conservative_texts", "compress_documents"])
+@pytest.mark.parametrize("name", ["folded_code", "block_types", "block_sections", "html_markdown", "tag_protect", "report_words", "conservative_texts", "compress_documents"])
 def test_kernels_use_all_cores(spark, small, name):
     """The tables are one row group each, which one task reads; the kernel's rows lie in many partitions."""
     from pyspark.sql import functions as F
