@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 LEAST_ENTROPY = 0.85
+_DIGIT, _LETTER, _HEX = re.compile(r"\d"), re.compile(r"[A-Za-z]"), re.compile(r"[0-9a-fA-F]{32,}")
 
 
 def entropy_share(token: str) -> float:
@@ -19,21 +21,23 @@ def entropy_share(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(len(counts))
 
 
-def secret_tokens(text: str, source: bool = False) -> Counter[str]:
-    """High-entropy tokens with their counts; a digit and a letter are asked for, in source code mixed with both cases or hex."""
-    found: Counter[str] = Counter()
-    for token in CANDIDATE.findall(text):
-        if not (re.search(r"\d", token) and re.search(r"[A-Za-z]", token)):
+def _secrets(text: str, source: bool = False) -> Iterator[str]:
+    for token in CANDIDATE.findall(text) if len(text) >= 20 else ():
+        if not (_DIGIT.search(token) and _LETTER.search(token)):
             continue
-        if source and not (re.fullmatch(r"[0-9a-fA-F]{32,}", token) or len(re.findall(r"\d", token)) >= 3):
+        if source and not (_HEX.fullmatch(token) or len(_DIGIT.findall(token)) >= 3):
             continue
         if entropy_share(token) >= LEAST_ENTROPY:
-            found[token] += 1
-    return found
+            yield token
+
+
+def secret_tokens(text: str, source: bool = False) -> Counter[str]:
+    """High-entropy tokens with their counts; a digit and a letter are asked for, in source code mixed with both cases or hex."""
+    return Counter(_secrets(text, source))
 
 
 def has_secret(text: str) -> bool:
-    return bool(secret_tokens(text))
+    return any(True for _ in _secrets(text))
 
 
 def keeps_secrets(original: str, view: str, source: bool = False) -> bool:
