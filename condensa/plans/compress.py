@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,17 @@ RESULT = T.StructType(
 )
 
 
+#: A batch holds whole blocks: by the default of 10,000 rows it would grow with the blocks and with the rows of a task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Unless the session or its start has set sizes of batches, those that a kernel has room for."""
+    for key, size in BATCH.items():
+        if not spark._jsparkSession.sessionState().conf().contains(key):
+            spark.conf.set(key, size)
+
+
 def shrink(text: Column, query: Column, source_path: Column, stash_dir: str | None = None, conservative: bool = False, ratio: float | None = None) -> Column:
     """The kernel as a column: one struct a block. Declared nondeterministic, so that Spark evaluates it once."""
 
@@ -54,6 +65,7 @@ def compress_blocks(blocks: DataFrame, stash_dir: str | None = None, conservativ
     ``condensa.sources.stash.SCHEME`` for names that ``Stash.retrieve`` reads. ``conservative``: of plain text only exact
     repeats are left out; ``ratio``: else the share of its bytes that is kept.
     """
+    small_batches(blocks.sparkSession)
     has = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
     fit = F.coalesce(over_gate("text") & ~has_marker("text"), F.lit(False))
     rows = blocks.withColumn("__fit", fit)

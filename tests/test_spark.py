@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 from inputs_made import SIZES, hits
 from pyspark.sql import functions as F
@@ -248,6 +249,20 @@ def test_one_python_node(spark, texts):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_batches_of_the_kernel_are_bounded(spark, texts):
+    """However large the blocks are; a size that the session has set stays."""
+    from condensa.plans.compress import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    one, other = spark.newSession(), spark.newSession()
+    compress_blocks(one.createDataFrame(texts.collect(), texts.schema))
+    sizes = one.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), F.lit(20_000)).alias("t")).mapInPandas(lambda it: (pd.DataFrame({"n": [x.t.str.len().sum()]}) for x in it), "n long")
+    assert sizes.agg(F.max("n")).first()[0] <= 5 << 20
+    other.conf.set(key, "1234567")
+    small_batches(other)
+    assert other.conf.get(key) == "1234567"
+
+
 def test_layout_does_not_matter(spark, texts):
     a = rows(compress_blocks(texts.repartition(1)).select("id", "result.text"))
     assert a == rows(compress_blocks(texts.repartition(8)).select("id", "result.text"))
