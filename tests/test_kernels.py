@@ -223,3 +223,14 @@ def test_long_blocks_take_time_in_proportion(kind):
     start = time.time()
     out = block.shrink_block(text, "pump", "a.js" if kind[:8] == "function" else None)
     assert out.tokens_after <= out.tokens_before and time.time() - start < 15
+
+
+def test_types_are_found_once(monkeypatch):
+    from collections import Counter
+
+    seen = Counter()
+    for module in (block, mixed):
+        monkeypatch.setattr(module, "content_type", lambda x, f=module.content_type: seen.update([x]) or f(x))
+    text = "\n".join(f"Line {i} says that nothing was found in the hall, and that somebody will look again." for i in range(12))
+    assert block.shrink_block(text, "hall").status == "lossy"
+    assert max(seen.values()) <= 2 and seen[text] <= 2  # by the block and by its only section
